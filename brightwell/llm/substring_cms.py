@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from brightwell.llm.common import materialize, ragged, slices, text_of
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 32
 #: The sketch has ROWS rows of cells, MOST_CELLS at most; a bit of each cell is broadcast (2 x 2^31 / 8 bytes = 512 MB at most).
 ROWS, SHARD, LEAST_CELLS, MOST_CELLS = 2, 1 << 20, 1 << 20, 1 << 31
-#: Bytes of text for each cell: about 1 in 8 cells of a row is then used (a word has about 6 bytes, 1 in 18 is a minimizer).
-CELL_BYTES = 13
+#: Bytes of text for each cell: about 1 in 8 cells of a row is then used (a word has about 6 bytes, 1 in 10 is a minimizer).
+CELL_BYTES = 7
+#: Bytes of text that a task splits and hashes at a time.
+SLICE = 2 << 20
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
@@ -107,7 +109,7 @@ def _sketch(cells: int):
 
         held = 0
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 words = Words(b.column("text").cast(pa.binary()).to_pylist(), known)
                 if words.any:
                     grams = words.grams[np.unique(words.anchors)]
@@ -174,7 +176,7 @@ def _windows(sketch, cells: int):
     def run(batches):
         known = WordHashes()
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 words = Words(b.column("text").cast(pa.binary()).to_pylist(), known)
                 if not words.any:
                     continue
@@ -201,7 +203,7 @@ def _plain(sketch, cells: int, with_text: bool):
     def run(batches):
         known = WordHashes()
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", SLICE):
                 texts = b.column("text").cast(pa.binary()).to_pylist()
                 words = Words(texts, known)
                 may = set(words.doc[_often(words, sketch.value, cells)].tolist()) if words.any else set()
@@ -259,6 +261,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = spark.sparkContext.broadcast(repeated_cells(known, cells))
     windows = known.mapInArrow(_windows(sketch, cells), "h1 long, h2 int, doc_id long, at long")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    first = materialize(first, "windows")  # AQE splits a skewed join only where both sides come straight from a shuffle
     marks = windows.hint("merge").join(first, ["h1", "h2"]).where("doc_id > least")
     marks = marks.select("doc_id", F.shiftright("at", 32).alias("print"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("start"))
     marks = marks.groupBy("doc_id", "print").agg(F.collect_set("start").alias("starts"))
