@@ -1,12 +1,15 @@
 """BPE encoding through a table of distinct words, and decoding through the table of pieces.
 
-Documents are split into words in blocks; a block numbers its distinct words and keeps each
-document as a list of those numbers. Distinct words of all blocks are brought together by a
-shuffle on the word, each encoded once, and its ids go back to every block that has the word, to be
-joined with the documents by position.
+Documents are split into words in blocks; a block keeps each document as a list of its words'
+numbers, and sends its distinct words, by hash, to the shards of the word table. A shard encodes
+each distinct word once, for all blocks that ask, and answers each block with the ids of its words,
+which the block joins with its documents by position.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +18,11 @@ from pyspark.sql import functions as F
 from brightwell.llm.bpe import pieces, split_words, tokenizer
 from brightwell.llm.common import ragged, slices, text_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes of text for each shard of the word table, and the most shards there are.
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 4096
+#: So many of a block's most frequent words have the smallest numbers.
+FREQUENT = 4096
 
 
 class _Numbers(dict):
@@ -24,23 +31,33 @@ class _Numbers(dict):
         return found
 
 
-def _pack(numbers: np.ndarray) -> bytes:
+def _squeeze(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    return zstandard.compress(data, 3)
 
 
-def _unpack(code: bytes) -> np.ndarray:
+def _expand(data: bytes) -> bytes:
     import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(code), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return zstandard.decompress(data)
 
 
-def _blocks(kind: str, most_bytes: int):
-    """Task side, run once for each kind: "words" gives (block, number, word), "docs" (block, n, doc_id, code).
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed byte plane by byte plane."""
+    return _squeeze(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
 
-    The frequent words of a block get the small numbers. Both runs see the same rows in the same
-    order, as they read the same splits; n, the count of words, is checked when the two meet.
+def _unpack(code: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_expand(code), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _blocks(kind: str, shards: int, most_bytes: int):
+    """Task side, run once for each kind: "words" gives (block, shard, sizes, words), the distinct
+    words for a shard in order; "docs" gives (block, n, frequent, doc_id, code).
+
+    A block numbers its words by shard and spelling. Both runs see the same rows in the same order,
+    as they read the same splits; n, the count of words, is checked when the two meet.
     """
 
     def run(batches):
@@ -50,17 +67,27 @@ def _blocks(kind: str, most_bytes: int):
         numbers, ids, lists = _Numbers(), [], []
 
         def out():
-            flat = np.concatenate(lists)
-            counts = np.bincount(flat, minlength=len(numbers))
-            order = np.argsort(-counts, kind="stable")
+            names = sorted(numbers)
+            coded = [w.encode() for w in names]
+            shard = np.fromiter((crc32(w) % shards for w in coded), np.int64, len(coded))
+            order = np.argsort(shard, kind="stable")
             if kind == "words":
-                words = pa.array(list(numbers), pa.string()).take(pa.array(order))
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(order), block)), pa.array(np.arange(len(order), dtype=np.int32)), words], ["block", "number", "word"])
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+                asked = np.flatnonzero(np.diff(bounds))
+                parts = [[coded[i] for i in order[bounds[s] : bounds[s + 1]]] for s in asked]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(asked), block)), pa.array(asked.astype(np.int32)), pa.array([_pack(np.fromiter(map(len, p), np.uint32, len(p))) for p in parts], pa.binary()), pa.array([_squeeze(b"".join(p)) for p in parts], pa.binary())],
+                    ["block", "shard", "sizes", "words"],
+                )
+            place = np.empty(len(names), np.int64)  # of a word as first met: its place by shard and spelling
+            place[np.fromiter((numbers[names[i]] for i in order), np.int64, len(names))] = np.arange(len(names))
+            counts = np.bincount(np.concatenate(lists), minlength=len(names))
+            often = np.argsort(-counts, kind="stable")[:FREQUENT]
+            number = place + FREQUENT
+            number[often] = np.arange(len(often))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(lists), block)), pa.array(np.full(len(lists), len(order))), pa.concat_arrays(ids), pa.array([_pack(rank[x]) for x in lists], pa.binary())],
-                ["block", "n", "doc_id", "code"],
+                [pa.array(np.full(len(lists), block)), pa.array(np.full(len(lists), len(names))), pa.array([_pack(place[often]), *[None] * (len(lists) - 1)], pa.binary()), pa.concat_arrays(ids), pa.array([_pack(number[x]) for x in lists], pa.binary())],
+                ["block", "n", "frequent", "doc_id", "code"],
             )
 
         for batch in batches:
@@ -80,39 +107,41 @@ def _blocks(kind: str, most_bytes: int):
     return run
 
 
-def _encode_runs(vocab, kind: str):
-    """Rows in order of word: each distinct word is encoded once, its ids given to each of its rows."""
+def _encode_shard(vocab, kind: str):
+    """A shard of the word table: each distinct word is encoded once, on first sight; every block gets the ids of its words, in its order."""
 
-    def run(batches):
-        encoder, last, last_ids = tokenizer(vocab.value), None, b""
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, table = tokenizer(vocab.value), {}
         for b in batches:
-            words = b.column("word").to_pylist()
-            new = [i for i, w in enumerate(words) if (w != words[i - 1] if i else w != last)]
-            found = encoder.encode_batch_fast([words[i] for i in new], add_special_tokens=False)
-            codes = [last_ids, *(np.array(e.ids, kind).tobytes() for e in found)]
-            which = np.zeros(len(words), np.int64)
-            which[new] = 1
-            which = np.cumsum(which)
-            if words:
-                last, last_ids = words[-1], codes[which[-1]]
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("number"), pa.array(codes, pa.binary()).take(pa.array(which))], ["block", "number", "ids"])
+            for block, sizes, words in zip(*(b.column(c).to_pylist() for c in ("block", "sizes", "words"))):
+                ends, text = np.cumsum(_unpack(sizes), dtype=np.int64).tolist(), _expand(words)
+                asked = [text[i:j] for i, j in zip([0, *ends], ends)]
+                new = [w for w in asked if w not in table]
+                for lo in range(0, len(new), 2000):
+                    part = new[lo : lo + 2000]
+                    for w, e in zip(part, encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                        table[w] = np.array(e.ids, kind).tobytes()
+                found = [table[w] for w in asked]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block]), pa.array([key[0].as_py()], pa.int32()), pa.array([_pack(np.fromiter(map(len, found), np.uint32, len(found)))], pa.binary()), pa.array([_squeeze(b"".join(found))], pa.binary())],
+                    ["block", "shard", "sizes", "ids"],
+                )
 
     return run
 
 
 def _join_by_position(kind: str):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        codes, numbers = words.column("ids").to_pylist(), words.column("number").to_numpy()
-        expected = docs.column("n")[0].as_py() if docs.num_rows else 0
-        if len(numbers) != expected:
-            raise RuntimeError(f"a block has {expected} words, its table {len(numbers)}: its rows were not the same when read again")
-        order = np.argsort(numbers)
-        lengths = np.fromiter(map(len, codes), np.int64, len(codes))[order] // np.dtype(kind).itemsize
-        ids = np.frombuffer(b"".join(codes[i] for i in order), kind).astype("<u4")
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "sizes", "ids"))))
+        lengths = np.concatenate([np.empty(0, np.int64), *(_unpack(r[1]).astype(np.int64) for r in rows)]) // np.dtype(kind).itemsize
+        ids = np.frombuffer(b"".join(_expand(r[2]) for r in rows), kind).astype("<u4")
+        if docs.num_rows and docs.column("n")[0].as_py() != len(lengths):
+            raise RuntimeError(f"a block has {docs.column('n')[0]} words, its table {len(lengths)}: its rows were not the same when read again")
         starts = np.cumsum(lengths) - lengths
+        place = np.concatenate([*(np.resize(_unpack(f), FREQUENT).astype(np.int64) for f in docs.column("frequent").drop_null().to_pylist()), np.arange(len(lengths))])
         found = []
         for code in docs.column("code").to_pylist():
-            at = _unpack(code)
+            at = place[_unpack(code)]
             found.append(ids[ragged(starts[at], lengths[at])].tobytes())
         counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(counts), "ids": pa.array(found, pa.binary())})
@@ -125,17 +154,22 @@ def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: st
 
     The ids are those of the tokenizers library for the whole text, special tokens' strings in the
     text included and none added. A null text is an empty one and has no ids; a null doc_id stays;
-    repeated rows repeat; an empty table gives no rows; other columns are ignored. A block holds
-    about `block_bytes` of text (a longer text stands alone), which bounds a task's memory. Only
-    distinct words a block and number lists are shuffled, never texts.
+    repeated rows repeat; an empty table gives no rows; other columns are ignored.
+
+    A block holds about `block_bytes` of text (a longer text stands alone), which bounds its task's
+    memory. Shards follow the bytes of text up to MOST_SHARDS; one streams over its blocks' words
+    and holds only its share of the distinct words. Texts are never shuffled: only compressed
+    distinct words, their ids, and lists of numbers.
     """
     texts = text_of(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     kind = "<u2" if len(pieces(vocab)) <= 1 << 16 else "<u4"
-    words = texts.mapInArrow(_blocks("words", block_bytes), "block long, number int, word string")
-    table = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_runs(shared, kind), "block long, number int, ids binary")
-    lists = texts.mapInArrow(_blocks("docs", block_bytes), "block long, n long, doc_id long, code binary")
-    return lists.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_join_by_position(kind), "doc_id long, n_tokens long, ids binary")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = min(MOST_SHARDS, 1 + size // SHARD_BYTES)
+    words = texts.mapInArrow(_blocks("words", shards, block_bytes), "block long, shard int, sizes binary, words binary")
+    answers = words.groupBy("shard").applyInArrow(_encode_shard(shared, kind), "block long, shard int, sizes binary, ids binary")
+    lists = texts.mapInArrow(_blocks("docs", shards, block_bytes), "block long, n long, frequent binary, doc_id long, code binary")
+    return lists.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_by_position(kind), "doc_id long, n_tokens long, ids binary")
 
 
 def _decode(table):

@@ -28,8 +28,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows in a batch that Spark hands to a Python task.
+BATCH_BYTES = 4 << 20
+
+
 def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the whole text (null: empty), so that no other column's name can clash."""
+    """Only the id and the whole text (null: empty), so that no other column's name can clash.
+
+    As texts are about to go to Python tasks, the session's batches are bounded by bytes, and not
+    only by a count of rows, which says nothing of memory where texts are long.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
