@@ -1,0 +1,172 @@
+"""Archives, nearest neighbours and secrets against brute force; the pipeline end to end."""
+import base64
+import hashlib
+import heapq
+import math
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import corpus_pipeline
+from brightwell.llm import block_ann, secret_index, warc_index
+from brightwell.llm.queries import op2_warc, op8_secrets
+from brightwell.sources import read_table
+from tests.llm.cases import AWKWARD, SECRETS, by_key, documents, exact, frame, near, secrets
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def expected_records(pages, least=0):
+    first = {}
+    for i, _, h in pages:
+        h = (h or "").encode()
+        if i is not None and len(h) >= least:
+            first[h] = min(i, first.get(h, i))
+    out = []
+    for i, _, h in pages:
+        h = (h or "").encode()
+        to = first.get(h) if len(h) >= least else None
+        to = None if to == i else to
+        out.append((i, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "response" if to is None else "revisit", to))
+    return out
+
+
+PAGES = [
+    (1, "http://A.example:80/x?q#f", "<p>é</p>"), (2, None, None), (3, "https://www.b.example/", ""), (4, "http://a.example/x?q", "<p>é</p>"), (4, "http://a.example/x?q", "<p>é</p>"),
+    (5, "x\r\ny: z", "a\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n"), (None, "http://c.example", "<p>é</p>"), (None, "http://c.example", "only without id"), (6, "", "long " * 50_000), (-7, "u", "<p>é</p>"),
+]
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_warc_round_trip(spark, least):
+    df = spark.createDataFrame([(*p, "clash", 3) for p in PAGES], "page_id long, url string, html string, first string, n int").repartition(3)
+    found = warc_index.warc_round_trip(df, least).collect()
+    assert by_key([tuple(r)[:5] for r in found]) == by_key(expected_records(PAGES, least))
+    assert all(r["intact"] for r in found)
+    order = [(r["urlkey"].encode(), r["capture_time"], r["page_id"] is None, r["page_id"] or 0) for r in found]
+    assert order == sorted(order)
+
+
+def test_warc_query(spark):
+    pages = [tuple(r) for r in read_table(spark, SMALL, "pages").select("page_id", "url", "html").collect()]
+    assert by_key(op2_warc(spark, SMALL).collect()) == by_key(expected_records(pages))
+
+
+def test_warc_of_nothing(spark):
+    assert warc_index.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.lists(st.integers(0, 20), max_size=8), max_size=9))
+def test_loser_tree(runs):
+    runs = [sorted(r) for r in runs]
+    assert list(warc_index.LoserTree(runs, lambda x: x)) == list(heapq.merge(*runs))
+
+
+def test_url_keys():
+    assert warc_index.url_key("http://www.B.Example:80/p?q=1#f") == "example,b)/p?q=1"
+    assert warc_index.url_key("https://u@h.example:8443") == "example,h:8443)/"
+
+
+def brute(vectors, k=20, every=20):
+    ok = [(i, np.array(v, float)) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = {}
+    for i, a in ok:
+        if i % every == 0:
+            best = {}
+            for j, b in ok:
+                if j != i and len(a) == len(b):
+                    s = 0.0
+                    for x, y in zip(a, b):
+                        s += x * y
+                    best[j] = max(s, best.get(j, -math.inf))
+            near_ones = sorted(best.items(), key=lambda p: (-p[1], p[0]))
+            out.setdefault(i, []).extend(near_ones)
+    rows = []
+    for i, found in out.items():
+        best = {}
+        for j, s in found:
+            best[j] = max(s, best.get(j, -math.inf))
+        rows += [(i, r + 1, j, s) for r, (j, s) in enumerate(sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k])]
+    return rows
+
+
+@pytest.mark.parametrize("rows", [7, 64, 4096])
+def test_nearest(spark, rows):
+    rng = np.random.default_rng(8)
+    vectors = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(160)]
+    vectors += [(200, None), (220, [0.0] * 8), (240, [float("nan")] * 8), (260, [1.0, None] + [0.0] * 6), (280, []), (300, [float("inf")] + [1.0] * 7), (None, [1.0] * 8)]
+    vectors += [(400 + i, vectors[20][1]) for i in range(30)] + [(20, vectors[20][1])] * 3 + [(7, [9.0] * 8)] * 40 + [(500, [1.0, 2.0]), (501, [2.0, 1.0]), (520, [1e-30] * 8), (521, [1e18] * 8)]
+    df = spark.createDataFrame([(i, v, "x", 2) for i, v in vectors], "vec_id long, embedding array<float>, n string, dim int").repartition(5)
+    found = block_ann.nearest(df, query_rows=rows, candidate_rows=rows).collect()
+    assert by_key(map(tuple, found)) == by_key(brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]))
+
+
+def test_nearest_of_few(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in block_ann.nearest(df).collect()] == [(0, 1, 1, 0.5)]
+    assert block_ann.nearest(df.where("false")).count() == 0
+
+
+def test_secrets(spark):
+    rows = AWKWARD + [(100 + i, t) for i, t in documents(SMALL)]
+    found = secret_index.secret_spans(frame(spark, rows))
+    listed = found.select("doc_id", secret_index.span_list(found["spans"]).alias("s")).collect()
+    assert by_key(listed) == by_key([(r[0], r[5]) for r in secrets(rows)])
+    assert secret_index.secret_spans(frame(spark, [])).count() == 0
+    assert by_key(op8_secrets(spark, SMALL).collect()) == by_key(secrets(documents(SMALL)))
+
+
+@settings(deadline=None, max_examples=15)
+@given(st.lists(st.lists(st.sampled_from(["password", "API_KEY", "token", "=", ":", " ", "'", "AKIA", "ABCD1234", "deadbeef", "éa", "short"]), max_size=14).map("".join), min_size=1, max_size=12))
+def test_secrets_of_odd_texts(spark, texts):
+    rows = list(enumerate(texts))
+    found = secret_index.secret_spans(frame(spark, rows))
+    listed = found.select("doc_id", secret_index.span_list(found["spans"]).alias("s")).collect()
+    assert by_key(listed) == by_key([(r[0], r[5]) for r in secrets(rows)])
+
+
+def test_trigram_queries():
+    q = secret_index.trigram_query
+    assert q("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
+    assert q("[0-9a-f]+") == secret_index.ANYTHING and q("(abc)?x*") == secret_index.ANYTHING
+    assert q("(abcd|xyz)+[0-9]") == {frozenset({"abc", "bcd"}), frozenset({"xyz"})}
+    for _, pattern, _, _ in SECRETS:
+        query = q(pattern.pattern)
+        for text in ("password: x", "API_KEY=ab", "apikey='1", "AKIAZ", "passwd=1", "secret:q", "token=z", "dead"):
+            if pattern.search(text):
+                assert any(all(g in text.lower() for g in clause) for clause in query)
+
+
+def test_secret_plan_is_native(spark):
+    plan = secret_index.secret_spans(read_table(spark, SMALL, "documents"))._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_mask_secrets(spark):
+    docs = frame(spark, AWKWARD)
+    found = {(r["doc_id"], r["n_chars"]): r["text"] for r in secret_index.mask_secrets(docs).collect() if r["doc_id"] in (17, 18)}
+    assert {t for t in found.values()} == {"[SECRET]' [SECRET] [SECRET]", "é\U0001f600 secret: short [SECRET]"}
+    assert all(n == len(t) for (_, n), t in found.items())
+    assert secret_index.mask_secrets(docs).columns == docs.columns and secret_index.mask_secrets(docs).count() == len(AWKWARD)
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    docs = read_table(spark, SMALL, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), f"test-{name}")
+        after = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name == "exact_dedup":
+            assert by_key(after) == by_key([b for b, e in zip(before, exact(before)) if e[3]])
+        if name == "near_dedup":
+            assert by_key(after) == by_key([b for b, n in zip(before, near(before)) if b[0] == n[2]])
+        if name == "secrets":
+            assert len(after) == len(before)
+            assert sum(r[5] != "" for r in secrets(before)) == sum(a != b for a, b in zip(sorted(after), sorted(before)))
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert packed.select("doc_id").distinct().count() == docs.count()
+    assert corpus_pipeline.run(spark, SMALL).count() == packed.count()
