@@ -83,7 +83,8 @@ def tile(q: _Side, c: _Side, k: int, rows: int = 256) -> tuple[np.ndarray, np.nd
     wide = np.float32 if 127 * 127 * q.codes.shape[1] < 1 << 24 else np.float64  # sums of code products stay exact
     columns = c.codes.astype(wide).T
     c_norm = c.norm + c.lost
-    keep = min(len(c.ids), k * int(np.unique(c.ids, return_counts=True)[1].max()) + 1)
+    keep = min(len(c.ids), (k + 1) * int(np.unique(c.ids, return_counts=True)[1].max()))
+    repeats = int(np.unique(q.ids, return_counts=True)[1].max())
     out = []
     for lo in range(0, len(q.ids), rows):
         hi = min(lo + rows, len(q.ids))
@@ -101,7 +102,7 @@ def tile(q: _Side, c: _Side, k: int, rows: int = 256) -> tuple[np.ndarray, np.nd
         qid, cid, score = qid[order], cid[order], score[order]
         fresh = np.flatnonzero(np.diff(qid, prepend=qid[0] - 1) != 0) if len(qid) else np.empty(0, np.int64)
         rank = np.arange(len(qid)) - np.repeat(fresh, np.diff(np.append(fresh, len(qid))))
-        short = rank < keep
+        short = rank < keep * repeats
         out.append((qid[short], cid[short], score[short]))
     return tuple(map(np.concatenate, zip(*out)))
 
@@ -192,5 +193,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         width = -(-width // MERGE)
         if width == 1:
             break
-    ranked = found.select("query_id", F.struct((-F.col("score")).alias("less"), "vec_id").alias("near")).groupBy("query_id").agg(F.sort_array(F.collect_list("near")).alias("near"))
+    # an id that several query rows share may have a list in several buckets
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = found.select("query_id", F.struct((-F.col("score")).alias("less"), "vec_id").alias("near")).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("near")), 1, k).alias("near"))
     return ranked.select("query_id", F.posexplode("near").alias("at", "near")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("near.vec_id").alias("vec_id"), (-F.col("near.less")).alias("score"))
