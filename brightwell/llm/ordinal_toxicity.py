@@ -1,11 +1,12 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 P(grade <= g) = logistic(threshold[g] - w.x), with one weight vector for all ordered thresholds.
-Features are the presence of words that a first pass over a bounded labelled sample found to tell
-toxic texts from others. The expected grade is the severity.
+Features are the presence of words and word beginnings that a first pass over a bounded labelled
+sample found to tell toxic texts from others. The expected grade is the severity.
 """
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,10 +37,25 @@ def word_list(text: str) -> list[str]:
     return [w for w in re.split(EDGES, text.lower()) if w]
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, features: int, levels: int, ridge: float = 1e-3, steps: int = 600, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+#: Word beginnings of these lengths are features too, and so is meeting a feature this often.
+BEGINNINGS, OFTEN = (5, 7), 3
+
+
+def features(text: str) -> set[str]:
+    """The text's words, beginnings of longer words (^...), and those of both that occur OFTEN times or more (...+)."""
+    counts = Counter(word_list(text))
+    for w, n in list(counts.items()):
+        for size in BEGINNINGS:
+            if len(w) > size:
+                counts["^" + w[:size]] += n
+    return counts.keys() | {f + "+" for f, n in counts.items() if n >= OFTEN}
+
+
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, features: int, levels: int, ridge: float = 1e-5, steps: int = 800, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ascending thresholds) of the cumulative logit model, by Adam on the mean loss.
 
-    rows: the numbers of the features present. Thresholds are a first one and positive steps, so their order can't break.
+    rows: the numbers of the features present. Weights are kept from going below 0: a feature that
+    marks toxic texts never excuses one. Thresholds are a first one and positive steps, so their order can't break.
     """
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
     flat, row = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), lengths)
@@ -64,6 +80,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, features: int, level
         g[features + 1 :] = np.cumsum(to_cut[::-1])[::-1][1:] * steps_up
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        p[:features] = np.maximum(p[:features], 0)
         rate *= 0.995
     cuts = np.concatenate((p[features : features + 1], p[features] + np.cumsum(np.exp(p[features + 1 :]))))
     return p[:features], cuts
@@ -78,63 +95,78 @@ def _sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
     return texts.join(F.broadcast(rows), texts["doc_id"] == rows["label_id"]).select("doc_id", "text", "toxic")  # bounded by most_rows
 
 
-def telling_words(sample: DataFrame, most_words: int = 512, least_docs: int = 5) -> list[tuple[str, int, int]]:
-    """(word, toxic documents, other documents) of the words that mark toxic texts, the surest first: at most most_words.
+def _listed(batches):
+    """(toxic, word): each document's features."""
+    for b in batches:
+        found = [sorted(features(t)) for t in b.column("text").to_pylist()]
+        toxic = b.column("toxic").to_numpy().repeat(list(map(len, found)))
+        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([w for f in found for w in f], pa.string())], ["toxic", "word"])
+
+
+def telling_words(sample: DataFrame, most_words: int = 1024, least_docs: int = 5) -> list[str]:
+    """The features that mark toxic texts, the surest first: at most most_words.
 
     Sure: log odds against those of other texts, smoothed, over their standard error; 3 or more.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), EDGES), lambda w: w != ""))
-    counts = sample.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     total = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not total[0] or not total[1]:
         return []
+    counts = sample.select("text", "toxic").mapInArrow(_listed, "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     odds = F.log((F.col("t") + 0.5) / (F.lit(total[0]) + 1.0)) - F.log((F.col("o") + 0.5) / (F.lit(total[1]) + 1.0))
     sure = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("o") + 0.5))
     best = counts.where(F.col("t") >= least_docs).withColumn("sure", sure).where("sure >= 3").orderBy(F.desc("sure"), "word").limit(most_words)
-    return [(r["word"], r["t"], r["o"]) for r in best.collect()]
+    return [r["word"] for r in best.collect()]
+
 
+def _marked(words):
+    """(toxic, numbers): each document's features among the telling ones, by number."""
+
+    def run(batches):
+        number = words.value
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            held = [sorted(number[f] for f in features(t) if f in number) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(held, pa.list_(pa.int32()))], ["toxic", "numbers"])
+
+    return run
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_words: int = 512) -> OrdinalModel:
-    """The model of grades 0 (labelled not toxic), 1 and 2 (labelled toxic; 2 from the median of telling words per word on).
 
-    Labels have no grades between, so severity among toxic texts is how dense the telling words are.
-    Only at most most_rows short lists of words reach the driver.
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_words: int = 1024) -> OrdinalModel:
+    """The model of grades 0 (labelled not toxic), 1 and 2 (labelled toxic; 2 from their median count of telling features on).
+
+    Labels have no grades between, so severity among toxic texts is how many telling features they
+    have. Only at most 2 x most_rows lists of at most most_words numbers reach the driver.
     """
     sample = _sample(docs, labels, most_rows)
-    words = [w for w, _, _ in telling_words(sample, most_words)]
-    number = {w: i for i, w in enumerate(words)}
-    all_words = F.filter(F.split(F.lower("text"), EDGES), lambda w: w != "")
-    known = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    held = F.filter(all_words, lambda w: F.array_contains(known, w))
-    rows = sample.select("toxic", F.size(all_words).alias("n"), F.array_sort(held).alias("held")).limit(2 * most_rows).collect()
-    rows = sorted((r["toxic"], r["n"], tuple(r["held"])) for r in rows)
+    words = telling_words(sample, most_words)
     if not words:
         return OrdinalModel({}, np.empty(0), np.array([8.0, 9.0]))
+    number = {w: i for i, w in enumerate(words)}
+    shared = docs.sparkSession.sparkContext.broadcast(number)
+    rows = sample.select("text", "toxic").mapInArrow(_marked(shared), "toxic int, numbers array<int>").limit(2 * most_rows).collect()
+    rows = sorted((r["toxic"], tuple(r["numbers"])) for r in rows)
     toxic = np.array([r[0] for r in rows])
-    dense = np.array([len(r[2]) / max(1, r[1]) for r in rows])
-    middle = np.median(dense[toxic == 1])
-    grades = np.where(toxic == 0, 0, np.where(dense >= middle, 2, 1))
-    present = [np.array(sorted({number[w] for w in r[2]}), np.int64) for r in rows]
-    weights, thresholds = fit_ordinal(present, grades, len(words), 3)
+    count = np.array([len(r[1]) for r in rows])
+    grades = np.where(toxic == 0, 0, np.where(count >= np.median(count[toxic == 1]), 2, 1))
+    weights, thresholds = fit_ordinal([np.array(r[1], np.int64) for r in rows], grades, len(words), 3)
     return OrdinalModel(number, weights, thresholds)
 
 
-def _score(model):
+def _score(model, threshold: float):
     def run(batches):
         m = model.value
-        names = set(m.words)
         for batch in batches:
             for b in slices(batch, "text"):
-                found = [names.intersection(word_list(t)) for t in b.column("text").to_pylist()]
-                margin = np.array([sum(m.weights[m.words[w]] for w in sorted(f)) for f in found], np.float64)
+                held = [sorted(m.words[f] for f in features(t) if f in m.words) for t in b.column("text").to_pylist()]
+                margin = np.array([m.weights[np.array(h, np.int64)].sum() for h in held], np.float64)
                 above = m.exceed(margin)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array((above[:, 0] >= 0.5).astype(np.int32))], ["doc_id", "score", "severity", "toxic"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array((above[:, 0] >= threshold).astype(np.int32))], ["doc_id", "score", "severity", "toxic"])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_words: int = 512) -> DataFrame:
-    """One row per document: doc_id, held_out, score (probability of a grade above 0), severity (expected grade, 0 to 2), toxic (score >= 0.5).
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 20_000, most_words: int = 1024) -> DataFrame:
+    """One row per document: doc_id, held_out, score (probability of a grade above 0), severity (expected grade, 0 to 2), toxic (score >= threshold).
 
     The whole text is read, in one pass without a shuffle; the model, at most most_words weights, is
     broadcast. A null or empty text has no features and scores the base rate; a null doc_id stays;
@@ -142,5 +174,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000,
     toxic. Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_rows, most_words))
-    scored = text_of(docs, "doc_id", "text").mapInArrow(_score(model), "doc_id long, score double, severity double, toxic int")
+    scored = text_of(docs, "doc_id", "text").mapInArrow(_score(model, threshold), "doc_id long, score double, severity double, toxic int")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "severity", "toxic")

@@ -71,7 +71,7 @@ def test_toxicity_of_held_out_rows(spark):
     toxic = [r for r in rows if r["label"] == 1]
     clean = [r for r in rows if r["label"] == 0]
     assert len(toxic) > 50
-    assert np.mean([r["toxic"] for r in toxic]) > 0.9 and np.mean([r["toxic"] for r in clean]) < 0.02
+    assert np.mean([r["toxic"] for r in toxic]) > 0.85 and np.mean([r["toxic"] for r in clean]) < 0.02
     assert all(0 <= r["severity"] <= 2 and r["score"] <= 1 for r in rows)
 
 
