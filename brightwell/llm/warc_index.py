@@ -8,6 +8,7 @@ capture histories in global order.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -64,9 +65,9 @@ def _record(least_bytes: int) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, most_records: int = 5000) -> None:
-    """WARC 1.1 archives of the pages under path, uncompressed, a few thousand records each at most."""
+    """WARC 1.1 archives of the pages under path, each compressed as a whole, of a few thousand records at most."""
     rows = classify(pages, least_bytes).select(_record(least_bytes).alias("value"))
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", most_records).text(path)
+    rows.write.option("lineSep", END).option("maxRecordsPerFile", most_records).option("compression", "gzip").text(path)
 
 
 def parse_records(content: bytes):
@@ -110,7 +111,7 @@ def _captures(batches):
     for b in batches:
         rows = []
         for content in b.column("content").to_pylist():
-            for headers, block, _ in parse_records(content):
+            for headers, block, _ in parse_records(gzip.decompress(content)):
                 http, _, body = block.partition(b"\r\n\r\n")
                 kind, said = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
                 size = int(next(x.split(b": ", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length: ")))
