@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from brightwell.llm.common import materialize, ragged, slices, text_of
 
 WINDOW, GRAM = 50, 32
-#: The sketch has ROWS rows of cells, MOST_CELLS at most; a bit of each cell is broadcast (2 x 2^31 / 8 bytes = 512 MB at most).
-ROWS, SHARD, LEAST_CELLS, MOST_CELLS = 2, 1 << 20, 1 << 20, 1 << 31
+#: The sketch has ROWS rows of cells, MOST_CELLS at most; a bit of each cell is broadcast (3 x 2^31 / 8 bytes = 768 MB at most).
+ROWS, SHARD, LEAST_CELLS, MOST_CELLS = 3, 1 << 20, 1 << 20, 1 << 31
 #: Bytes of text for each cell: about 1 in 8 cells of a row is then used (a word has about 6 bytes, 1 in 10 is a minimizer).
 CELL_BYTES = 7
 #: Bytes of text that a task splits and hashes at a time.
@@ -198,9 +198,11 @@ def _digest(words: list[bytes]) -> str:
 
 
 def _plain(sketch, cells: int, with_text: bool):
-    """A row per document as if nothing were removed, with its text if a window of it may repeat (or always)."""
+    """A row per document as if nothing were removed, with its text, compressed, if a window of it may repeat (or always)."""
 
     def run(batches):
+        import zstandard
+
         known = WordHashes()
         for batch in batches:
             for b in slices(batch, "text", SLICE):
@@ -209,7 +211,7 @@ def _plain(sketch, cells: int, with_text: bool):
                 may = set(words.doc[_often(words, sketch.value, cells)].tolist()) if words.any else set()
                 split = [t.split() for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("print"), pa.array(words.lengths), pa.array([_digest(w) for w in split]), pa.array([t if with_text or i in may else None for i, t in enumerate(texts)], pa.binary())],
+                    [b.column("doc_id"), b.column("print"), pa.array(words.lengths), pa.array([_digest(w) for w in split]), pa.array([zstandard.compress(t, 3) if with_text or i in may else None for i, t in enumerate(texts)], pa.binary())],
                     ["doc_id", "print", "n_words", "kept_sha256", "text"],
                 )
 
@@ -225,10 +227,12 @@ def remove_covered(words: list[bytes], starts: np.ndarray) -> list[bytes]:
 
 
 def _finish(batches):
+    import zstandard
+
     for b in batches:
         removed, digests, kept = [], b.column("kept_sha256").to_pylist(), []
         for i, (text, starts) in enumerate(zip(b.column("text").to_pylist(), b.column("starts").to_pylist())):
-            words = left = None if text is None else text.split()
+            words = left = None if text is None else zstandard.decompress(text).split()
             if starts:
                 left = remove_covered(words, np.array(starts, np.int64))
                 digests[i] = _digest(left)
