@@ -152,9 +152,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_word
     return OrdinalModel(number, weights, thresholds)
 
 
-def _score(model, threshold: float):
+def _score(parts, threshold: float):
+    """parts: the model's fields, broadcast as plain values, for broadcasts are unpickled by name and executors have no copy of the package."""
+
     def run(batches):
-        m = model.value
+        m = OrdinalModel(*parts.value)
         for batch in batches:
             for b in slices(batch, "text"):
                 held = [sorted(m.words[f] for f in features(t) if f in m.words) for t in b.column("text").to_pylist()]
@@ -173,6 +175,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     repeated rows repeat; an empty table gives no rows; without labels of both kinds nothing is
     toxic. Other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most_rows, most_words))
-    scored = text_of(docs, "doc_id", "text").mapInArrow(_score(model, threshold), "doc_id long, score double, severity double, toxic int")
+    model = train(docs, labels, most_rows, most_words)
+    parts = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.thresholds))
+    scored = text_of(docs, "doc_id", "text").mapInArrow(_score(parts, threshold), "doc_id long, score double, severity double, toxic int")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "severity", "toxic")
