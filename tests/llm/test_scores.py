@@ -1,4 +1,6 @@
 """Classifiers: parts against brute force, held-out accuracy, awkward rows."""
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -7,6 +9,7 @@ from brightwell.llm.queries import op1_quality, op5_toxicity
 from brightwell.sources import read_table
 from tests.llm.cases import AWKWARD, frame
 
+ROOT = Path(__file__).resolve().parents[2]
 MIDDLE = "/root/testdata/sf0.1"
 
 
@@ -83,6 +86,44 @@ def test_toxicity_of_awkward_rows(spark):
     assert ordinal_toxicity.score_toxicity(frame(spark, []), some).count() == 0
 
 
+def test_telling_words_come_before_those_of_alike_texts(spark):
+    rows = [(f"mark a{i}", 1) for i in range(200)] + [(f"plain b{i}", 0) for i in range(1500)]
+    rows += [(" ".join(f"alike{j}" for j in range(300)) + f" {i}", int(i % 5 < 3)) for i in range(60)]
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    found = ordinal_toxicity.telling_words(sample, most_words=20)
+    assert found[0] == "mark" and len(found) == 20
+    assert ordinal_toxicity.telling_words(sample.where("toxic = 0")) == []
+
+
+def test_equal_texts_count_once(spark):
+    rows = [(i, f"word{i % 3}") for i in range(60)]
+    labels = labels_of(spark, [(i, 1, int(i % 3 == 0)) for i in range(60)])
+    found = ordinal_toxicity._sample(frame(spark, rows), labels, 100).collect()
+    assert sorted((r["text"], r["toxic"]) for r in found) == [("word0", 1), ("word1", 0), ("word2", 0)]
+
+
+def test_the_model_reaches_tasks_as_plain_values():
+    """Executors have no copy of the package, and broadcasts are unpickled by name."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from brightwell.llm.queries import op5_toxicity
+print("rows", op5_toxicity(spark, "/root/testdata/sf0.001").count())
+op5_toxicity(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+print("scored")
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=300)
+    assert "scored" in done.stdout, done.stderr[-2000:]
+
+
 def test_features():
     assert ordinal_toxicity.features("It's a-b  Longest longest, LONGEST") == {"it", "s", "a", "b", "longest", "^longe", "longest+", "^longe+"}
     assert ordinal_toxicity.features("") == set()
