@@ -178,8 +178,8 @@ def _score(parts, threshold: float):
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 20_000, most_words: int = 1024) -> DataFrame:
     """One row per document: doc_id, held_out, score (probability of a grade above 0), severity (expected grade, 0 to 2), toxic (score >= threshold).
 
-    The whole text is read, in one pass without a shuffle; the model, at most most_words weights, is
-    broadcast. A null or empty text has no features and scores the base rate; a null doc_id stays;
+    The whole text is read, in one pass without a shuffle (only training's bounded sample is grouped);
+    the model, at most most_words weights, is broadcast. A null or empty text has no features and scores the base rate; a null doc_id stays;
     repeated rows repeat; an empty table gives no rows; without labels of both kinds nothing is
     toxic. Other columns are ignored.
     """
