@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightwell.llm.common import connected_components, materialize, slices, text_of
@@ -43,7 +43,7 @@ def _fingerprints(batches):
     for batch in batches:
         for b in slices(batch, "text"):
             prints = np.fromiter((fingerprint(t) for t in b.column("text").cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(prints.view(np.int64))], ["doc_id", "key", "fp"])
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -59,6 +59,23 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= RADIUS)
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, fp, component_id): one row per document; key is its text's."""
+    texts = text_of(docs, id_col, text_col).withColumn("key", _text_key(F.col("text")))
+    prints = materialize(texts.mapInArrow(_fingerprints, "doc_id long, key long, fp long"), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(links(prints.select("fp").distinct()))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = materialize(placed, "placed")
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return prints.join(classes.hint("merge"), "fp")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -68,14 +85,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null. Repeated rows repeat in the result. An empty table gives no rows. Equal fingerprints meet
     in a partial aggregate, so a large group of copies is one node.
     """
-    prints = materialize(text_of(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(prints.select("fp").distinct()))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(classes.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _placed(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def word_jaccard(a: bytes, b: bytes, width: int = 5) -> float:
@@ -92,9 +102,8 @@ def word_jaccard(a: bytes, b: bytes, width: int = 5) -> float:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs (all its columns) with one document of each SimHash component: that of the smallest doc_id.
 
-    Rows with the same id and text as the one that stays are that document, and stay with it.
-    Documents without an id are never dropped.
+    Rows of the id that stays are that document, and stay with it. Where rows of one id have unlike
+    texts, each goes or stays by its own text's component. Documents without an id are never dropped.
     """
-    found = simhash_components(docs)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["lost_id"], "left_anti")
+    lost = _placed(docs, "doc_id", "text").where("doc_id <> component_id").select(F.col("doc_id").alias("lost_id"), F.col("key").alias("lost_key")).distinct()
+    return docs.join(lost, (docs["doc_id"] == lost["lost_id"]) & (_text_key(docs["text"]) == lost["lost_key"]), "left_anti")

@@ -99,6 +99,13 @@ def test_drop_near_copies(spark, rows):
     assert found.columns == docs.columns and by_key([(r["doc_id"],) for r in found.collect()]) == by_key(kept)
 
 
+def test_near_copies_of_an_id_with_unlike_texts(spark):
+    """Row 5 with the first text is a copy of 3 and goes; row 5 with the second one is the smallest of its own group."""
+    one, two = "the first text is about rivers and hills", "an unlike text that tells of ships at sea"
+    docs = frame(spark, [(3, one), (5, one), (5, two), (9, two)])
+    assert by_key(simhash_ball.drop_near_copies(docs).select("doc_id", "text").collect()) == by_key([(3, one), (5, two)])
+
+
 def test_word_jaccard():
     assert simhash_ball.word_jaccard(b"a b c d e", b"A B C D E") == 1.0
     assert simhash_ball.word_jaccard(b"a b c d e f", b"b c d e f g") == pytest.approx(1 / 3)
