@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,21 +72,22 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, most_recor
     rows.write.option("lineSep", END).option("maxRecordsPerFile", most_records).option("compression", "gzip").text(path)
 
 
-def parse_records(content: bytes):
-    """(WARC headers, block, offset) of each record of an archive, by the records' own lengths."""
+def parse_records(archive: BinaryIO):
+    """(WARC headers, block, offset) of each record of an archive, by the records' own lengths, one record in memory at a time."""
     at = 0
-    while at < len(content):
-        head = content.index(b"\r\n\r\n", at)
-        lines = content[at:head].decode("utf-8", "replace").split(CRLF)
-        if not lines[0].startswith("WARC/"):
+    while first := archive.readline():
+        if not first.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
-        headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-        start = head + 4
-        end = start + int(headers["Content-Length"])
-        if content[end : end + 4] != b"\r\n\r\n":
+        size, headers = len(first), {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            size += len(line)
+            name, _, value = line.decode("utf-8", "replace").removesuffix(CRLF).partition(":")
+            headers[name] = value.removeprefix(" ")
+        block = archive.read(int(headers["Content-Length"]))
+        if archive.read(4) != b"\r\n\r\n":
             raise ValueError(f"a record at byte {at} doesn't end where its length says")
-        yield headers, content[start:end], at
-        at = end + 4
+        yield headers, block, at
+        at += size + 2 + len(block) + 4
 
 
 def url_key(url: str) -> str:
@@ -111,7 +114,7 @@ def _captures(batches):
     for b in batches:
         rows = []
         for content in b.column("content").to_pylist():
-            for headers, block, _ in parse_records(gzip.decompress(content)):
+            for headers, block, _ in parse_records(gzip.open(io.BytesIO(content))):
                 http, _, body = block.partition(b"\r\n\r\n")
                 kind, said = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
                 size = int(next(x.split(b": ", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length: ")))
