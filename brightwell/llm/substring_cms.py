@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from brightwell.llm.common import materialize, ragged, slices, text_of
 
 WINDOW, GRAM = 50, 32
-#: The sketch has ROWS rows of cells, MOST_CELLS at most; a bit of each cell is broadcast (3 x 2^31 / 8 bytes = 768 MB at most).
-ROWS, SHARD, LEAST_CELLS, MOST_CELLS = 3, 1 << 20, 1 << 20, 1 << 31
+#: The sketch has ROWS rows of cells, MOST_CELLS at most; a bit of each cell is broadcast (3 x 2^30 / 8 bytes = 384 MB at most).
+ROWS, SHARD, LEAST_CELLS, MOST_CELLS = 3, 1 << 20, 1 << 20, 1 << 30
 #: Bytes of text for each cell: about 1 in 8 cells of a row is then used (a word has about 6 bytes, 1 in 10 is a minimizer).
 CELL_BYTES = 7
 #: Bytes of text that a task splits and hashes at a time.
