@@ -2,8 +2,9 @@
 
 Each task sorts the 48-bit fingerprints of its texts and sends them, as Golomb-Rice coded gaps, to
 the owners of ranges of fingerprints. Owners answer with a bitmap for each task: which of its
-fingerprints occurs again. Only documents so marked (suspects) have their texts shuffled and
-grouped by the bytes themselves; the rest are unique.
+fingerprints occurs again. Only documents so marked (suspects) are grouped by the bytes of their
+texts; the rest are unique. Spark broadcasts the suspects' keys only where their written size is
+under spark.sql.autoBroadcastJoinThreshold; beyond it texts are shuffled to meet them.
 """
 from __future__ import annotations
 
