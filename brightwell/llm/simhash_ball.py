@@ -88,15 +88,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _placed(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_jaccard(a: bytes, b: bytes, width: int = 5) -> float:
-    """Jaccard similarity of the sets of `width`-word shingles; texts with fewer words are one shingle."""
+def shingles(text: bytes, width: int = 5) -> set[bytes]:
+    """The `width`-word shingles of a lower-cased text; one with fewer words is one shingle."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
 
-    def grams(text: bytes) -> set[bytes]:
-        words = text.lower().split()
-        return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+def shared(x: set, y: set) -> float:
+    """Jaccard similarity of two sets, not both empty."""
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
 
-    x, y = grams(a), grams(b)
-    return len(x & y) / len(x | y)
+
+def word_jaccard(a: bytes, b: bytes, width: int = 5) -> float:
+    """Jaccard similarity of the sets of `width`-word shingles; texts with fewer words are one shingle."""
+    return shared(shingles(a, width), shingles(b, width))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

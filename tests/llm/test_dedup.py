@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brightwell.llm import common, exact_dedup, simhash_ball, substring_cms
+from brightwell.llm import common, exact_dedup, minhash_bands, simhash_ball, substring_cms
 from tests.llm.cases import AWKWARD, by_key, documents, exact, frame, near, print_of, sha, substrings
 
 SMALL = "/root/testdata/sf0.001"
@@ -106,6 +106,49 @@ def test_near_copies_of_an_id_with_unlike_texts(spark):
     assert by_key(simhash_ball.drop_near_copies(docs).select("doc_id", "text").collect()) == by_key([(3, one), (5, two)])
 
 
+def alike_kept(rows):
+    """Greedy in the order of ids, by brute force: a text goes if a smaller one that stays is 0.8 alike."""
+    kept = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        text = (t or "").encode()
+        if text not in kept and all(simhash_ball.word_jaccard(text, k) < 0.8 for k in kept):
+            kept[text] = i
+    return [(i, t) for i, t in rows if kept.get((t or "").encode(), "none") == i]
+
+
+@pytest.mark.parametrize("leaders", [16, 2])
+def test_drop_near_texts_by_brute_force(spark, monkeypatch, leaders):
+    """Edited copies of two texts, from 0.6 to 0.99 alike; with two leaders, several rounds are needed."""
+    monkeypatch.setattr(minhash_bands, "LEADERS", leaders)
+    rng = np.random.default_rng(9)
+    rows = list(AWKWARD)
+    for base in range(2):
+        words = [f"b{base}w{x}" for x in range(200)]
+        for copy in range(40):
+            edited = list(words)
+            for at in rng.choice(200, copy % 9 + 1, replace=False):
+                edited[at] = f"new{base}x{copy}x{at}"
+            rows.append((1000 + len(rows) * 7 % 101 + 101 * base, " ".join(edited)))
+    docs = frame(spark, rows).repartition(3)
+    found = minhash_bands.drop_near_texts(docs)
+    assert found.columns == docs.columns
+    kept = alike_kept(rows)
+    assert by_key({(r["doc_id"], r["text"]) for r in found.collect()}) == by_key(set(kept))
+    simhash_keeps = simhash_ball.drop_near_copies(docs).count()
+    assert len(kept) < simhash_keeps
+
+
+def test_the_pipeline_drops_copies_of_0_8_and_no_others(spark):
+    import corpus_pipeline
+
+    words = [f"word{x}" for x in range(104)]
+    near, far = list(words), list(words)
+    near[50], near[70] = "other", "another"  # 10 of 100 shingles: 90 / 110 = 0.818
+    far[30], far[50], far[70] = "some", "other", "more"  # 15 of 100: 85 / 115 = 0.74
+    docs = frame(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))])
+    assert by_key(corpus_pipeline.drop_near(spark, docs, "").select("doc_id").collect()) == [(1,), (3,)]
+
+
 def test_word_jaccard():
     assert simhash_ball.word_jaccard(b"a b c d e", b"A B C D E") == 1.0
     assert simhash_ball.word_jaccard(b"a b c d e f", b"b c d e f g") == pytest.approx(1 / 3)
@@ -139,3 +182,8 @@ def test_estimates_are_never_too_low():
 def test_empty_tables(spark, f):
     assert f(frame(spark, [])).count() == 0
     assert f(frame(spark, [(None, None), (None, None)])).count() in (1, 2)
+
+
+def test_no_near_texts_in_empty_tables(spark):
+    assert minhash_bands.drop_near_texts(frame(spark, [])).count() == 0
+    assert minhash_bands.drop_near_texts(frame(spark, [(4, "one of a kind")])).count() == 1
