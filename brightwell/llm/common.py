@@ -42,6 +42,21 @@ def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs (all its columns) with one row of those alike in doc_id and text (null: empty, a null id like any other), the least.
+
+    Both aggregates begin in each task, so rows that are often repeated send one row a task; other rows' texts stay where they are
+    unless the set of repeated ones is too large to broadcast.
+    """
+    mark = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(docs["text"], F.lit("")))
+    repeated = materialize(docs.select(mark.alias("mark")).groupBy("mark").count().where("count > 1").select("mark"), "repeated")
+    if repeated.isEmpty():
+        return docs
+    rows = docs.join(repeated, mark == repeated["mark"], "left_semi")
+    least = rows.groupBy(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return docs.join(repeated, mark == repeated["mark"], "left_anti").unionByName(least.select("_row.*"))
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -149,6 +149,17 @@ def test_the_pipeline_drops_copies_of_0_8_and_no_others(spark):
     assert by_key(corpus_pipeline.drop_near(spark, docs, "").select("doc_id").collect()) == [(1,), (3,)]
 
 
+def test_the_pipeline_keeps_one_row_of_a_group_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    one, two, three = "the first text is about rivers and hills", "an unlike text that tells of ships at sea", "a third one has an id"
+    docs = frame(spark, [(None, one), (None, one), (5, two), (5, two), (None, three), (7, three), (None, three.upper()), (8, None), (8, "")]).repartition(3)
+    for stage, kept in ((corpus_pipeline.drop_copies, 5), (corpus_pipeline.drop_near, 4)):
+        docs = common.materialize(stage(spark, docs, ""), "test-one-row")
+        assert docs.count() == kept
+    assert by_key(docs.select("doc_id").collect()) == [(5,), (7,), (8,), (None,)]
+
+
 def test_word_jaccard():
     assert simhash_ball.word_jaccard(b"a b c d e", b"A B C D E") == 1.0
     assert simhash_ball.word_jaccard(b"a b c d e f", b"b c d e f g") == pytest.approx(1 / 3)
