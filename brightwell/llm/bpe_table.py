@@ -1,13 +1,12 @@
 """BPE encoding through a table of distinct words, and decoding through the table of pieces.
 
-Documents are split into words in blocks; a block keeps each document as a list of its words'
+Documents are split into words in blocks; a block keeps its documents as lists of its words'
 numbers, and sends its distinct words, by hash, to the shards of the word table. A shard encodes
 each distinct word once, for all blocks that ask, and answers each block with the ids of its words,
 which the block joins with its documents by position.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -16,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightwell.llm.bpe import pieces, split_words, tokenizer
-from brightwell.llm.common import ragged, slices, text_of
+from brightwell.llm.common import arrow_schema, materialize, ragged, slices, text_of
 
-BLOCK_BYTES = 8 << 20
-#: Bytes of text for each shard of the word table, and the most shards there are.
-SHARD_BYTES, MOST_SHARDS = 8 << 20, 4096
+BLOCK_BYTES = 4 << 20
 #: So many of a block's most frequent words have the smallest numbers.
 FREQUENT = 4096
+#: Words that a shard keeps the ids of; with more distinct words than that it starts anew, and encodes again what it meets again.
+HELD_WORDS = 1 << 18
+#: A block's lists of numbers (shard -1, one row) and its distinct words for each shard.
+SENT = "block long, shard int, n long, doc_ids array<long>, sizes binary, frequent binary, data binary"
 
 
 class _Numbers(dict):
@@ -52,68 +53,67 @@ def _unpack(code: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_expand(code), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _blocks(kind: str, shards: int, most_bytes: int):
-    """Task side, run once for each kind: "words" gives (block, shard, sizes, words), the distinct
-    words for a shard in order; "docs" gives (block, n, frequent, doc_id, code).
+def _sizes(parts: list[bytes]) -> bytes:
+    return _pack(np.fromiter(map(len, parts), np.uint32, len(parts)))
+
+
+def _block(schema: pa.Schema, block: int, shards: int, numbers: _Numbers, ids: list, lists: list[np.ndarray]) -> pa.RecordBatch:
+    """The rows of a block, which numbers its words by shard and spelling; its most frequent words take the smallest numbers instead."""
+    names = sorted(numbers)
+    met = np.fromiter((numbers[w] for w in names), np.int64, len(names))
+    names = [w.encode() for w in names]
+    shard = np.fromiter((crc32(w) % shards for w in names), np.int64, len(names))
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(names), np.int64)  # of a word as first met: its place by shard and spelling
+    place[met[order]] = np.arange(len(names))
+    words = np.concatenate(lists)
+    often = np.argsort(-np.bincount(words, minlength=len(names)), kind="stable")[:FREQUENT]
+    number = place + FREQUENT
+    number[often] = np.arange(len(often))
+    rows = [(-1, len(names), ids, _pack(np.fromiter(map(len, lists), np.uint32, len(lists))), _pack(place[often]), _pack(number[words]))]
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(bounds)).tolist():
+        part = [names[i] for i in order[bounds[s] : bounds[s + 1]]]
+        rows.append((s, len(part), None, _sizes(part), None, _squeeze(b"".join(part))))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([block] * len(rows), *zip(*rows)), schema.types)], schema=schema)
 
-    A block numbers its words by shard and spelling. Both runs see the same rows in the same order,
-    as they read the same splits; n, the count of words, is checked when the two meet.
-    """
+
+def _blocks(shards: int, most_bytes: int):
+    """Task side: the rows of SENT of blocks of about most_bytes of text."""
+    schema = arrow_schema(SENT)
 
     def run(batches):
         from pyspark import TaskContext
 
         block, held = TaskContext.get().partitionId() << 24, 0
         numbers, ids, lists = _Numbers(), [], []
-
-        def out():
-            names = sorted(numbers)
-            coded = [w.encode() for w in names]
-            shard = np.fromiter((crc32(w) % shards for w in coded), np.int64, len(coded))
-            order = np.argsort(shard, kind="stable")
-            if kind == "words":
-                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-                asked = np.flatnonzero(np.diff(bounds))
-                parts = [[coded[i] for i in order[bounds[s] : bounds[s + 1]]] for s in asked]
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(asked), block)), pa.array(asked.astype(np.int32)), pa.array([_pack(np.fromiter(map(len, p), np.uint32, len(p))) for p in parts], pa.binary()), pa.array([_squeeze(b"".join(p)) for p in parts], pa.binary())],
-                    ["block", "shard", "sizes", "words"],
-                )
-            place = np.empty(len(names), np.int64)  # of a word as first met: its place by shard and spelling
-            place[np.fromiter((numbers[names[i]] for i in order), np.int64, len(names))] = np.arange(len(names))
-            counts = np.bincount(np.concatenate(lists), minlength=len(names))
-            often = np.argsort(-counts, kind="stable")[:FREQUENT]
-            number = place + FREQUENT
-            number[often] = np.arange(len(often))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(lists), block)), pa.array(np.full(len(lists), len(names))), pa.array([_pack(place[often]), *[None] * (len(lists) - 1)], pa.binary()), pa.concat_arrays(ids), pa.array([_pack(number[x]) for x in lists], pa.binary())],
-                ["block", "n", "frequent", "doc_id", "code"],
-            )
-
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
                 for text in b.column("text").to_pylist():
                     parts = split_words(text)
                     lists.append(np.fromiter(map(numbers.__getitem__, parts), np.uint32, len(parts)))
-                ids.append(b.column("doc_id"))
+                ids += b.column("doc_id").to_pylist()
                 held += b.column("text").nbytes
                 if held >= most_bytes:
-                    yield out()
+                    yield _block(schema, block, shards, numbers, ids, lists)
                     block, held = block + 1, 0
-                    numbers.clear(), ids.clear(), lists.clear()
+                    numbers, ids, lists = _Numbers(), [], []
         if lists:
-            yield out()
+            yield _block(schema, block, shards, numbers, ids, lists)
 
     return run
 
 
-def _encode_shard(vocab, kind: str):
-    """A shard of the word table: each distinct word is encoded once, on first sight; every block gets the ids of its words, in its order."""
+def _encode_words(vocab, kind: str, most_words: int):
+    """A partition of the word table, its rows in order of shard: each distinct word is encoded once, on first sight; every block gets the ids of its words, in its order."""
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = tokenizer(vocab.value), {}
+    def run(batches):
+        encoder, table, now = None, {}, None
         for b in batches:
-            for block, sizes, words in zip(*(b.column(c).to_pylist() for c in ("block", "sizes", "words"))):
+            for block, shard, sizes, words in zip(*(b.column(c).to_pylist() for c in ("block", "shard", "sizes", "data"))):
+                encoder = encoder or tokenizer(vocab.value)
+                if shard != now or len(table) > most_words:
+                    table, now = {}, shard
                 ends, text = np.cumsum(_unpack(sizes), dtype=np.int64).tolist(), _expand(words)
                 asked = [text[i:j] for i, j in zip([0, *ends], ends)]
                 new = [w for w in asked if w not in table]
@@ -123,52 +123,64 @@ def _encode_shard(vocab, kind: str):
                         table[w] = np.array(e.ids, kind).tobytes()
                 found = [table[w] for w in asked]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([key[0].as_py()], pa.int32()), pa.array([_pack(np.fromiter(map(len, found), np.uint32, len(found)))], pa.binary()), pa.array([_squeeze(b"".join(found))], pa.binary())],
+                    [pa.array([block]), pa.array([shard], pa.int32()), pa.array([_sizes(found)], pa.binary()), pa.array([_squeeze(b"".join(found))], pa.binary())],
                     ["block", "shard", "sizes", "ids"],
                 )
 
     return run
 
 
-def _join_by_position(kind: str):
+def _join_by_position(kind: str, most_words: int = 1 << 18):
+    names = ["doc_id", "n_tokens", "ids"]
+    types = [pa.int64(), pa.int64(), pa.binary()]
+
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        """docs: a block's row; answers: the ids of its words by shard. The result comes in pieces of about most_words words."""
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "sizes", "ids"))))
         lengths = np.concatenate([np.empty(0, np.int64), *(_unpack(r[1]).astype(np.int64) for r in rows)]) // np.dtype(kind).itemsize
         ids = np.frombuffer(b"".join(_expand(r[2]) for r in rows), kind).astype("<u4")
-        if docs.num_rows and docs.column("n")[0].as_py() != len(lengths):
-            raise RuntimeError(f"a block has {docs.column('n')[0]} words, its table {len(lengths)}: its rows were not the same when read again")
+        if docs.column("n").to_pylist() != [len(lengths)]:
+            raise RuntimeError(f"a block has {docs.column('n').to_pylist()} words, its table {len(lengths)}")
         starts = np.cumsum(lengths) - lengths
-        place = np.concatenate([*(np.resize(_unpack(f), FREQUENT).astype(np.int64) for f in docs.column("frequent").drop_null().to_pylist()), np.arange(len(lengths))])
-        found = []
-        for code in docs.column("code").to_pylist():
-            at = place[_unpack(code)]
-            found.append(ids[ragged(starts[at], lengths[at])].tobytes())
-        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(counts), "ids": pa.array(found, pa.binary())})
+        place = np.concatenate([np.resize(_unpack(docs.column("frequent")[0].as_py()), FREQUENT).astype(np.int64), np.arange(len(lengths))])
+        doc_ids, words = docs.column("doc_ids")[0].as_py(), _unpack(docs.column("data")[0].as_py())
+        ends = np.cumsum(_unpack(docs.column("sizes")[0].as_py()), dtype=np.int64)
+        out, lo = [], 0
+        while lo < len(doc_ids):
+            first = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, first + most_words, side="right")))
+            at = place[words[first : ends[hi - 1]]]
+            part = ids[ragged(starts[at], lengths[at])]
+            edges = np.concatenate(([0], np.cumsum(lengths[at])))[np.concatenate(([first], ends[lo:hi])) - first]
+            out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[lo:hi], types[0]), pa.array(np.diff(edges)), pa.array([part[i:j].tobytes() for i, j in zip(edges, edges[1:])], types[2])], names))
+            lo = hi
+        return pa.Table.from_batches(out, pa.schema(list(zip(names, types))))
 
     return run
 
 
-def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, most_words: int = HELD_WORDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers).
 
     The ids are those of the tokenizers library for the whole text, special tokens' strings in the
     text included and none added. A null text is an empty one and has no ids; a null doc_id stays;
     repeated rows repeat; an empty table gives no rows; other columns are ignored.
 
-    A block holds about `block_bytes` of text (a longer text stands alone), which bounds its task's
-    memory. Shards follow the bytes of text up to MOST_SHARDS; one streams over its blocks' words
-    and holds only its share of the distinct words. Texts are never shuffled: only compressed
-    distinct words, their ids, and lists of numbers.
+    Texts are read once: a block's lists of numbers and its words are written before either is
+    used, so both are of the same reading. A block holds about `block_bytes` of text (a longer text
+    stands alone), which bounds its task's memory. There are as many shards as
+    spark.sql.shuffle.partitions; one streams over its blocks' words and holds at most about
+    `most_words` of them. Texts are never shuffled: only compressed distinct words, their ids, and
+    lists of numbers.
     """
-    texts = text_of(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    texts, spark = text_of(docs, id_col, text_col), docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocab)
     kind = "<u2" if len(pieces(vocab)) <= 1 << 16 else "<u4"
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = min(MOST_SHARDS, 1 + size // SHARD_BYTES)
-    words = texts.mapInArrow(_blocks("words", shards, block_bytes), "block long, shard int, sizes binary, words binary")
-    answers = words.groupBy("shard").applyInArrow(_encode_shard(shared, kind), "block long, shard int, sizes binary, ids binary")
-    lists = texts.mapInArrow(_blocks("docs", shards, block_bytes), "block long, n long, frequent binary, doc_id long, code binary")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = materialize(texts.mapInArrow(_blocks(shards, block_bytes), SENT), "words")
+    asked = sent.where("shard >= 0").select("block", "shard", "sizes", "data").repartition("shard").sortWithinPartitions("shard")
+    answers = asked.mapInArrow(_encode_words(shared, kind, most_words), "block long, shard int, sizes binary, ids binary")
+    lists = sent.where("shard < 0").drop("shard")
     return lists.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_by_position(kind), "doc_id long, n_tokens long, ids binary")
 
 
@@ -177,7 +189,7 @@ def _decode(table):
         by_id = np.empty(len(table.value), object)
         by_id[:] = table.value
         for batch in batches:
-            for b in slices(batch, "ids"):
+            for b in slices(batch, "ids", 1 << 20):
                 texts = [b"".join(by_id[np.frombuffer(i, "<u4")]).decode("utf-8", "replace") for i in b.column("ids").to_pylist()]
                 columns = [b.column(c) for c in b.schema.names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
