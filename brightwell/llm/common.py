@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, kept in the session, only where unset."""
+    """The folder in spark.checkpoint.dir. Where it is unset: on local[...] a temporary one, kept in the session; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local[") and spark.conf.get("spark.master", "local") != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='brightwell-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,6 +30,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like materialize, as a table in buckets of the key: where it is joined by that key, it isn't shuffled."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(df.sparkSession)}/{table}").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 #: Bytes of rows in a batch that Spark hands to a Python task.
 BATCH_BYTES = 4 << 20
 
@@ -42,6 +51,11 @@ def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names hold."""
+    return [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
+
+
 def one_row_each(docs: DataFrame) -> DataFrame:
     """docs (all its columns) with one row of those alike in doc_id and text (null: empty, a null id like any other), the least.
 
@@ -53,7 +67,7 @@ def one_row_each(docs: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return docs
     rows = docs.join(repeated, mark == repeated["mark"], "left_semi")
-    least = rows.groupBy(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    least = rows.groupBy(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).agg(F.min(F.struct(*columns_of(docs))).alias("_row"))
     return docs.join(repeated, mark == repeated["mark"], "left_anti").unionByName(least.select("_row.*"))
 
 

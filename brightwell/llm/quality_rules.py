@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import held_out
+from brightwell.llm.common import columns_of, held_out
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -159,7 +159,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rat
     return RuleModel([rules[i] for i in kept], weights[kept], bias)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str = "doc_id") -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with quality, for a sample of at most most_rows labelled ids that aren't held out.
 
     The sample is that of the smallest hashes of the id, so it is the same wherever it is drawn. It
@@ -168,7 +168,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: st
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out("doc_id"))
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = rows.select(F.col("doc_id").alias("label_id"), (F.col("quality") > 0).cast("double").alias("label"))
-    return docs.join(F.broadcast(rows), docs[id_col] == rows["label_id"]).select(F.col(id_col).alias("doc_id"), docs["text"], "label")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))  # no other column, whose name could clash
+    return texts.join(F.broadcast(rows), texts["doc_id"] == rows["label_id"]).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **fit) -> RuleModel:
@@ -195,8 +196,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 20_000) -> DataFrame:
-    """docs (all its columns) whose score is `threshold` or more, in the same single pass."""
+    """docs (all its columns) whose score is `threshold` or more, in the same single pass.
+
+    A null text is scored as an empty one and stays null; a null doc_id is never a label's; repeated
+    rows go or stay together; an empty table gives no rows.
+    """
     model = train(docs, labels, most_rows)
-    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = docs.select(F.struct(*columns_of(docs)).alias("doc"), "text")
     scored = with_statistics(packed, "doc").where(model.column() >= threshold)
     return scored.select("doc_id.*")
