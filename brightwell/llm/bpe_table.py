@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightwell.llm.bpe import pieces, split_words, tokenizer
-from brightwell.llm.common import arrow_schema, materialize, ragged, slices, text_of
+from brightwell.llm.common import arrow_schema, bucketed, ragged, slices, text_of
 
 BLOCK_BYTES = 4 << 20
 #: So many of a block's most frequent words have the smallest numbers.
 FREQUENT = 4096
 #: Words that a shard keeps the ids of; with more distinct words than that it starts anew, and encodes again what it meets again.
 HELD_WORDS = 1 << 18
-#: A block's lists of numbers (shard -1, one row) and its distinct words for each shard.
+#: Words in a row of a block's lists.
+ROW_WORDS = 1 << 16
+#: A block's lists of numbers (shard -1) and its distinct words for each shard (sizes are those of words), in one table.
 SENT = "block long, shard int, n long, doc_ids array<long>, sizes binary, frequent binary, data binary"
 
 
@@ -70,7 +72,13 @@ def _block(schema: pa.Schema, block: int, shards: int, numbers: _Numbers, ids: l
     often = np.argsort(-np.bincount(words, minlength=len(names)), kind="stable")[:FREQUENT]
     number = place + FREQUENT
     number[often] = np.arange(len(often))
-    rows = [(-1, len(names), ids, _pack(np.fromiter(map(len, lists), np.uint32, len(lists))), _pack(place[often]), _pack(number[words]))]
+    number, ends = number[words], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+    rows, lo = [], 0
+    while lo < len(lists):
+        first = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, first + ROW_WORDS, side="right")))
+        rows.append((-1, len(names), ids[lo:hi], _pack(np.diff(ends[lo:hi], prepend=first)), None if lo else _pack(place[often]), _pack(number[first : ends[hi - 1]])))
+        lo = hi
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(bounds)).tolist():
         part = [names[i] for i in order[bounds[s] : bounds[s + 1]]]
@@ -130,30 +138,27 @@ def _encode_words(vocab, kind: str, most_words: int):
     return run
 
 
-def _join_by_position(kind: str, most_words: int = 1 << 18):
+def _join_by_position(kind: str):
     names = ["doc_id", "n_tokens", "ids"]
     types = [pa.int64(), pa.int64(), pa.binary()]
 
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        """docs: a block's row; answers: the ids of its words by shard. The result comes in pieces of about most_words words."""
+    def run(lists: pa.Table, answers: pa.Table) -> pa.Table:
+        """lists: a block's documents; answers: the ids of its words by shard."""
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "sizes", "ids"))))
         lengths = np.concatenate([np.empty(0, np.int64), *(_unpack(r[1]).astype(np.int64) for r in rows)]) // np.dtype(kind).itemsize
         ids = np.frombuffer(b"".join(_expand(r[2]) for r in rows), kind).astype("<u4")
-        if docs.column("n").to_pylist() != [len(lengths)]:
-            raise RuntimeError(f"a block has {docs.column('n').to_pylist()} words, its table {len(lengths)}")
+        if set(lists.column("n").to_pylist()) != {len(lengths)}:
+            raise RuntimeError(f"a block has {lists.column('n').to_pylist()[:1]} words, its table {len(lengths)}")
         starts = np.cumsum(lengths) - lengths
-        place = np.concatenate([np.resize(_unpack(docs.column("frequent")[0].as_py()), FREQUENT).astype(np.int64), np.arange(len(lengths))])
-        doc_ids, words = docs.column("doc_ids")[0].as_py(), _unpack(docs.column("data")[0].as_py())
-        ends = np.cumsum(_unpack(docs.column("sizes")[0].as_py()), dtype=np.int64)
-        out, lo = [], 0
-        while lo < len(doc_ids):
-            first = int(ends[lo - 1]) if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, first + most_words, side="right")))
-            at = place[words[first : ends[hi - 1]]]
-            part = ids[ragged(starts[at], lengths[at])]
-            edges = np.concatenate(([0], np.cumsum(lengths[at])))[np.concatenate(([first], ends[lo:hi])) - first]
-            out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids[lo:hi], types[0]), pa.array(np.diff(edges)), pa.array([part[i:j].tobytes() for i, j in zip(edges, edges[1:])], types[2])], names))
-            lo = hi
+        often = next(f for f in lists.column("frequent").to_pylist() if f)
+        place = np.concatenate([np.resize(_unpack(often), FREQUENT).astype(np.int64), np.arange(len(lengths))])
+        out = []
+        for doc_ids, sizes, data in zip(*(lists.column(c).to_pylist() for c in ("doc_ids", "sizes", "data"))):
+            at = place[_unpack(data)]
+            edges = np.concatenate(([0], np.cumsum(lengths[at])))[np.concatenate(([0], np.cumsum(_unpack(sizes), dtype=np.int64)))]
+            found = ids[ragged(starts[at], lengths[at])]
+            parts = pa.array([found[i:j].tobytes() for i, j in zip(edges, edges[1:])], types[2])
+            out.append(pa.RecordBatch.from_arrays([pa.array(doc_ids, types[0]), pa.array(np.diff(edges)), parts], names))
         return pa.Table.from_batches(out, pa.schema(list(zip(names, types))))
 
     return run
@@ -167,17 +172,17 @@ def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: st
     repeated rows repeat; an empty table gives no rows; other columns are ignored.
 
     Texts are read once: a block's lists of numbers and its words are written before either is
-    used, so both are of the same reading. A block holds about `block_bytes` of text (a longer text
-    stands alone), which bounds its task's memory. There are as many shards as
-    spark.sql.shuffle.partitions; one streams over its blocks' words and holds at most about
-    `most_words` of them. Texts are never shuffled: only compressed distinct words, their ids, and
-    lists of numbers.
+    used, so both are of the same reading. That table is bucketed by block, so lists are read where
+    they are joined and neither they nor texts are shuffled: only compressed distinct words and
+    their ids. A block holds about `block_bytes` of text (a longer text stands alone), which bounds
+    its task's memory. There are as many shards as spark.sql.shuffle.partitions; one streams over
+    its blocks' words and holds at most about `most_words` of them.
     """
     texts, spark = text_of(docs, id_col, text_col), docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
     kind = "<u2" if len(pieces(vocab)) <= 1 << 16 else "<u4"
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = materialize(texts.mapInArrow(_blocks(shards, block_bytes), SENT), "words")
+    sent = bucketed(texts.mapInArrow(_blocks(shards, block_bytes), SENT), "words", "block", shards)
     asked = sent.where("shard >= 0").select("block", "shard", "sizes", "data").repartition("shard").sortWithinPartitions("shard")
     answers = asked.mapInArrow(_encode_words(shared, kind, most_words), "block long, shard int, sizes binary, ids binary")
     lists = sent.where("shard < 0").drop("shard")
