@@ -46,11 +46,12 @@ def fast():
     return tiktoken.Encoding(**bpe.ranked(vocabulary()))
 
 
-@pytest.mark.parametrize("block_bytes", [1, 3000, 16 << 20])
-def test_encode_and_decode(spark, library, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "most_words"), [(1, 10), (3000, 50), (16 << 20, 1 << 18)])
+def test_encode_and_decode(spark, library, monkeypatch, block_bytes, most_words):
+    monkeypatch.setattr(bpe_table, "ROW_WORDS", 20)
     rows = AWKWARD + [(100 + i, t) for i, t in documents(SMALL)]
     vocab = vocabulary()
-    encoded = bpe_table.bpe_encode(frame(spark, rows).repartition(3), vocab, block_bytes=block_bytes)
+    encoded = bpe_table.bpe_encode(frame(spark, rows).repartition(3), vocab, block_bytes=block_bytes, most_words=most_words)
     found = bpe_table.bpe_decode(encoded, vocab)
     encode, decode = library
     expected = [(i, len(ids := encode(t)), little(ids), decode(ids)) for i, t in rows]
@@ -98,10 +99,30 @@ def test_packing(spark, library, capacity):
     assert bins <= 1.05 * len(residual_packing.best_fit(flat, capacity)[0]) + 1
 
 
-def test_packing_with_many_roots(spark, library, monkeypatch):
-    monkeypatch.setattr(residual_packing, "NODE_BINS", 5)
+def test_packing_up_a_tree(spark, library, monkeypatch):
+    monkeypatch.setattr(residual_packing, "NODE_ITEMS", 12)
     rows = documents(SMALL)
-    check_packing(rows, residual_packing.pack(frame(spark, rows).repartition(9), vocabulary()).collect(), library)
+    bins, _ = check_packing(rows, residual_packing.pack(frame(spark, rows).repartition(9), vocabulary()).collect(), library)
+    monkeypatch.setattr(residual_packing, "HANDED", 1)
+    few, _ = check_packing(rows, residual_packing.pack(frame(spark, rows).repartition(9), vocabulary()).collect(), library)
+    assert bins <= few
+
+
+def test_lengths_that_follow_the_partition(spark, library):
+    """Files sorted by source: texts of 600 tokens in one, of 400 in the other. Each sequence takes one of both."""
+    rows = [(i, " the" * (599 if i < 300 else 399)) for i in range(600)]
+    bins, _ = check_packing(rows, residual_packing.pack(frame(spark, rows).repartitionByRange(2, "doc_id"), vocabulary()).collect(), library)
+    assert bins == 300
+
+
+WHITE = [" " * 700_000, "\n" * 700_000, "\t" * 700_000, " \t\r\n" * 200_000, "\r\n " * 200_000]
+
+
+def test_very_long_runs_of_white_space(spark, library):
+    rows = [(i, f"a{w}b") for i, w in enumerate(WHITE)]
+    check_packing(rows, residual_packing.pack(frame(spark, rows), vocabulary()).collect(), library)
+    found = bpe_table.bpe_decode(bpe_table.bpe_encode(frame(spark, rows), vocabulary()), vocabulary()).collect()
+    assert sorted((r["doc_id"], r["ids"], r["decoded"]) for r in found) == [(i, little(library[0](t)), t) for i, t in rows]
 
 
 def test_query_packs_all(spark, library):
