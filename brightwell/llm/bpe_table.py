@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from brightwell.llm.bpe import pieces, split_words, tokenizer
 from brightwell.llm.common import arrow_schema, bucketed, ragged, slices, text_of
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: So many of a block's most frequent words have the smallest numbers.
 FREQUENT = 4096
 #: Words that a shard keeps the ids of; with more distinct words than that it starts anew, and encodes again what it meets again.
