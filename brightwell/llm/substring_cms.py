@@ -2,42 +2,58 @@
 
 Pass 1 counts, in a count-min sketch, the positions that are the minimizer of some window of 50
 words. Two equal windows have equal minimizers at different positions, so a minimizer's count is
-never below its windows' own: the merged sketch overestimates window counts. Pass 2 groups, by a
-96-bit hash of the words, only windows whose estimate is 2 or more; none that repeats is lost.
+never below its windows' own: the merged sketch overestimates window counts. The sketch lies with
+the owners of ranges of its cells; blocks of documents send them their cells, compressed, and are
+told which of these counted 2 or more. Pass 2 groups, by a 96-bit hash of the words, only windows
+whose estimate is 2 or more; none that repeats is lost. It is a second exchange: a block sends each
+such window once, with its smallest doc_id there, to the owner of a range of hashes, and is told
+whether a smaller one has it elsewhere.
 """
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import materialize, ragged, slices, text_of
+from brightwell.llm.common import arrow_schema, bucketed, ragged, slices, text_of
 
 WINDOW, GRAM = 50, 32
-#: The sketch has ROWS rows of cells, MOST_CELLS at most; a bit of each cell is broadcast (3 x 2^30 / 8 bytes = 384 MB at most).
-ROWS, SHARD, LEAST_CELLS, MOST_CELLS = 3, 1 << 20, 1 << 20, 1 << 30
-#: Bytes of text for each cell: about 1 in 8 cells of a row is then used (a word has about 6 bytes, 1 in 10 is a minimizer).
+#: The sketch has ROWS rows of cells; an owner has SHARD cells of a row.
+ROWS, SHARD = 2, 1 << 22
+#: Bytes of text for each cell: about 1 in 10 cells of a row is then used (a word has about 6 bytes, 1 in 10 is a minimizer).
 CELL_BYTES = 7
-#: Bytes of text that a task splits and hashes at a time.
-SLICE = 2 << 20
+#: Bytes of text of a block; of text that is split and hashed at a time; and words of a long text that are.
+BLOCK_BYTES, SLICE, SEGMENT = 8 << 20, 2 << 20, 1 << 18
+#: Bytes of text for each owner of windows, which at 6 bytes a word holds at most 4 million of them.
+OWNER_BYTES = 24 << 20
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
-class WordHashes(dict):
-    """XXH64 of words, kept for words met again; emptied when it grows past its bound."""
+class WordNumbers(dict):
+    """Numbers of words in the order in which they are met, and two independent 64-bit hashes of each (the halves of XXH3-128)."""
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+    def __init__(self):
+        super().__init__()
+        self.hashed = np.empty((0, 2), np.uint64)
 
-        if len(self) >= 400_000:
-            self.clear()
-        found = self[word] = xxh64_intdigest(word, 7)
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
         return found
 
+    def hashes(self) -> np.ndarray:
+        from itertools import islice
+
+        from xxhash import xxh3_128_digest
+
+        if len(self.hashed) < len(self):
+            new = b"".join(map(xxh3_128_digest, islice(self, len(self.hashed), None)))
+            self.hashed = np.concatenate((self.hashed, np.frombuffer(new, "<u8").reshape(-1, 2)))
+        return self.hashed
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(_M3)
@@ -65,157 +81,219 @@ def _minimizers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a run of documents, end to end, and the windows that lie within one document."""
-
-    def __init__(self, texts: list[bytes], known: WordHashes):
-        lists = [t.split() for t in texts]
-        self.lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.hashes = np.fromiter((known[w] for ws in lists for w in ws), np.uint64, int(self.lengths.sum()))
-        self.firsts = np.cumsum(self.lengths) - self.lengths
-        counts = np.maximum(0, self.lengths - WINDOW + 1)
-        self.starts = ragged(self.firsts, counts)
-        self.doc = np.repeat(np.arange(len(lists)), counts)
-        self.any = len(self.starts) > 0
-        if self.any:
-            self.grams, best = _minimizers(self.hashes)
-            self.anchors = best[self.starts]
+    """The words of a run of documents, end to end, and the windows that lie within one document.
+
+    A long document comes in segments that overlap by a window less a word, so that each of its
+    windows lies in one of them; memory is bounded whatever its length.
+    """
+
+    def __init__(self, lists: list[list[bytes]], known: WordNumbers):
+        self.counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        numbers = np.fromiter((known[w] for ws in lists for w in ws), np.int64, int(self.counts.sum()))
+        self.hashes = known.hashes()[numbers]
+        self.firsts = np.cumsum(self.counts) - self.counts
+
+    def windows(self, segment: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For segments: (hashes of its words, windows' starts in it, their documents, their starts in these)."""
+        segment, spans, lo = segment or SEGMENT, [], 0
+        while lo < len(self.counts):  # whole documents up to `segment` words, or parts of one
+            hi = max(lo + 1, int(np.searchsorted(self.firsts + self.counts, self.firsts[lo] + segment, side="right")))
+            first, end = int(self.firsts[lo]), int(self.firsts[hi - 1] + self.counts[hi - 1])
+            step = max(1, segment - WINDOW + 1)
+            spans += [(lo, hi, first, end)] if hi > lo + 1 or end - first <= segment else [(lo, hi, a, min(a + segment, end)) for a in range(first, max(first + 1, end - WINDOW + 1), step)]
+            lo = hi
+        for lo, hi, first, end in spans:
+            begin = np.maximum(self.firsts[lo:hi], first)
+            counts = np.maximum(0, np.minimum(self.firsts[lo:hi] + self.counts[lo:hi], end) - begin - WINDOW + 1)
+            if counts.sum():
+                starts, doc = ragged(begin, counts), np.repeat(np.arange(lo, hi), counts)
+                yield self.hashes[first:end], starts - first, doc, starts - self.firsts[doc]
 
 
 def _cells(grams: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (_mix(grams + np.uint64((row + 1) * _M1 & (1 << 64) - 1)) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def _sketch(cells: int):
-    """Task side: what this task's documents add to the sketch, by shard of cells: cells counted once, and more often."""
+def _squeeze(data: bytes) -> bytes:
+    import zstandard
 
-    def run(batches):
-        known, rows = WordHashes(), [[] for _ in range(ROWS)]
+    return zstandard.compress(data, 1)
 
-        def out():
-            for row in range(ROWS):
-                values, counts = np.unique(np.concatenate(rows[row]), return_counts=True)
-                bounds = np.searchsorted(values, np.arange(0, cells + 1, SHARD))
-                for shard in np.flatnonzero(np.diff(bounds)).tolist():
-                    lo, hi = bounds[shard], bounds[shard + 1]
-                    yield row, shard, values[lo:hi] - shard * SHARD, counts[lo:hi] > 1
-                rows[row].clear()
 
-        def batch_of(found):
-            import zlib
+def _expand(data: bytes) -> bytes:
+    import zstandard
 
-            found = list(found)
-            packed = [zlib.compress((np.diff(v, prepend=0).astype("<i4") * 2 + m).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for _, _, v, m in found]
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array(packed, pa.binary())], ["row", "shard", "cells"])
+    return zstandard.decompress(data)
 
-        held = 0
-        for batch in batches:
-            for b in slices(batch, "text", SLICE):
-                words = Words(b.column("text").cast(pa.binary()).to_pylist(), known)
-                if words.any:
-                    grams = words.grams[np.unique(words.anchors)]
-                    held += len(grams)
-                    for row in range(ROWS):
-                        rows[row].append(_cells(grams, row, cells))
-                    if held > 1 << 22:
-                        yield batch_of(out())
-                        held = 0
-        if held:
-            yield batch_of(out())
 
-    return run
+def _pack(values: np.ndarray) -> bytes:
+    """An array, compressed byte plane by byte plane."""
+    return _squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    import zlib
+def _unpack(code: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_expand(code), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-    raw = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<i4").ravel()
-    return np.cumsum(raw >> 1), (raw & 1).astype(bool)
 
+def _gaps(ascending: np.ndarray) -> bytes:
+    return _pack(np.diff(ascending, prepend=0).astype("<u4"))
 
-def _merge(cells: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(SHARD, np.uint8)
-        for packed in pdf.cells:
-            at, more = _unpack(packed)
-            counts[at] = np.minimum(counts[at] + 1 + more, 2)
-        return pd.DataFrame({"row": [key[0]], "shard": [key[1]], "often": [np.packbits(counts > 1).tobytes()]})
 
-    return run
+def _from_gaps(code: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(code, "<u4"), dtype=np.int64)
 
 
-def cells_for(texts: DataFrame) -> int:
-    """Cells of a row of the sketch: a power of 2 that follows the bytes of text, up to MOST_CELLS."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // CELL_BYTES).bit_length()))
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
 
-def repeated_cells(texts: DataFrame, cells: int) -> list[np.ndarray]:
-    """The merged sketch, one array of bits a row: which cells counted 2 or more. Its size is fixed by `cells`."""
-    parts = texts.mapInArrow(_sketch(cells), "row int, shard int, cells binary")
-    merged = parts.groupBy("row", "shard").applyInPandas(_merge(cells), "row int, shard int, often binary")
-    sketch = np.zeros((ROWS, cells // 8), np.uint8)
-    for r in merged.toLocalIterator():
-        at = r["shard"] * SHARD // 8
-        sketch[r["row"], at : at + len(r["often"])] = np.frombuffer(r["often"], np.uint8)
-    return list(sketch)
+#: A block's documents (row -1; shard numbers the parts; texts is their texts end to end, sizes their bytes), and its cells of a shard:
+#: gaps between these, ascending, and a bit for each that counts more than once in the block.
+SENT = "block long, row int, shard int, doc_ids array<long>, sizes binary, texts binary, cells binary, more binary"
 
 
-def _often(words: Words, sketch: list[np.ndarray], cells: int) -> np.ndarray:
-    """For each window, whether its estimate is 2 or more."""
-    places, inverse = np.unique(words.anchors, return_inverse=True)
-    found = np.ones(len(places), bool)
-    for row in range(ROWS):
-        at = _cells(words.grams[places], row, cells)
-        found &= (sketch[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-    return found[inverse]
+def _send_cells(cells: int, most_bytes: int):
+    """Task side: the rows of SENT of blocks of about most_bytes of text (a longer text stands alone)."""
+    schema = arrow_schema(SENT)
 
+    def run(batches):
+        from pyspark import TaskContext
 
-def _windows(sketch, cells: int):
-    """(h1, h2, doc_id, at) for each window with an estimate of 2 or more; at: 31 bits of the text's hash, then the word's number."""
+        block, held, parts, grams, known = TaskContext.get().partitionId() << 24, 0, 0, [], WordNumbers()
+
+        def cell_rows():
+            every = np.concatenate([*grams, np.empty(0, np.uint64)])
+            for row in range(ROWS):
+                values, counts = np.unique(_cells(every, row, cells), return_counts=True)
+                bounds = np.searchsorted(values, np.arange(0, cells + SHARD, SHARD))
+                for shard in np.flatnonzero(np.diff(bounds)).tolist():
+                    lo, hi = bounds[shard], bounds[shard + 1]
+                    yield block, row, shard, None, None, None, _gaps(values[lo:hi] - shard * SHARD), np.packbits(counts[lo:hi] > 1).tobytes()
 
-    def run(batches):
-        known = WordHashes()
         for batch in batches:
             for b in slices(batch, "text", SLICE):
-                words = Words(b.column("text").cast(pa.binary()).to_pylist(), known)
-                if not words.any:
-                    continue
-                keep = np.flatnonzero(_often(words, sketch.value, cells))
-                if not len(keep):
-                    continue
-                h1 = _rolling(words.hashes, WINDOW, _M1)[words.starts[keep]]
-                h2 = (_mix(_rolling(_mix(words.hashes), WINDOW, _M2)[words.starts[keep]]) >> np.uint64(33)).astype(np.int32)
-                doc = words.doc[keep]
-                at = (b.column("print").to_numpy(zero_copy_only=False)[doc] << 32) | (words.starts[keep] - words.firsts[doc])
-                ids = b.column("doc_id").take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2), ids, pa.array(at)], ["h1", "h2", "doc_id", "at"])
+                texts, ids = b.column("text").cast(pa.binary()).to_pylist(), b.column("doc_id").to_pylist()
+                words = Words([t.split() if i is not None else [] for i, t in zip(ids, texts)], known)
+                for hashes, starts, _, _ in words.windows():
+                    own, best = _minimizers(hashes[:, 0])
+                    grams.append(own[np.unique(best[starts])])
+                sizes = np.fromiter(map(len, texts), "<u8", len(texts))
+                yield _table([(block, -1, parts, ids, _pack(sizes), _squeeze(b"".join(texts)), None, None)], schema)
+                parts, held = parts + 1, held + int(sizes.sum()) + 64 * len(texts)
+                if held >= most_bytes:
+                    yield _table(list(cell_rows()), schema)
+                    block, held, parts, grams, known = block + 1, 0, 0, [], WordNumbers()
+        if held:
+            yield _table(list(cell_rows()), schema)
 
     return run
 
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def _count_cells(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """An owner's cells: the sum of what blocks say, up to 2; each is told which of its own reach 2."""
+    counts = np.zeros(SHARD, np.uint8)
+    asked = [(b, _from_gaps(c), m) for b, c, m in zip(*(table.column(x).to_pylist() for x in ("block", "cells", "more")))]
+    for _, at, more in asked:
+        counts[at] = np.minimum(counts[at] + 1 + np.unpackbits(np.frombuffer(more, np.uint8))[: len(at)], 2)
+    often = [_gaps(at[counts[at] > 1]) for _, at, _ in asked]
+    n = len(asked)
+    return pa.table({"block": pa.array([a[0] for a in asked], pa.int64()), "row": pa.array([key[0].as_py()] * n, pa.int32()), "shard": pa.array([key[1].as_py()] * n, pa.int32()), "often": pa.array(often, pa.binary())})
 
 
-def _plain(sketch, cells: int, with_text: bool):
-    """A row per document as if nothing were removed, with its text, compressed, if a window of it may repeat (or always)."""
+def _often(grams: np.ndarray, said: list[np.ndarray], cells: int) -> np.ndarray:
+    """Which grams have an estimate of 2 or more; said: the cells of each row that do, ascending."""
+    found = np.ones(len(grams), bool)
+    for row in range(ROWS):
+        at = np.flatnonzero(found)
+        if not len(said[row]):
+            return np.zeros(len(grams), bool)
+        cell = _cells(grams[at], row, cells)
+        place = np.minimum(np.searchsorted(said[row], cell), len(said[row]) - 1)
+        found[at] = said[row][place] == cell
+    return found
+
+
+#: A block's documents (owner -1): counts of words, digests of all words, and of those with windows of an estimate of 2 or more, the text and
+#: where such windows start, sure where a smaller document of the block has it too, else which distinct one it is; `owners` (part 0) has the
+#: owner of each distinct one in this order. And its distinct windows for an owner: h1, h2 and least, the smallest doc_id that has it.
+ASKED = "block long, owner int, part int, doc_ids array<long>, n_words array<long>, digests array<string>, texts array<binary>, starts array<binary>, sure array<binary>, numbers array<binary>, owners binary, h1 binary, h2 binary, least binary"
+
+
+def _send_windows(cells: int, owners: int, with_text: bool):
+    schema = arrow_schema(ASKED)
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        block, said = docs.column("block")[0].as_py(), []
+        replies = sorted(zip(*(answers.column(c).to_pylist() for c in ("row", "shard", "often"))))
+        for row in range(ROWS):
+            said.append(np.concatenate([np.empty(0, np.int64), *(_from_gaps(o) + s * SHARD for r, s, o in replies if r == row)]))
+        known, found, plain = WordNumbers(), [], []
+        parts = sorted(zip(*(docs.column(c).to_pylist() for c in ("shard", "doc_ids", "sizes", "texts"))))
+        for part, ids, sizes, data in parts:
+            ends, data = np.cumsum(_unpack(sizes, "<u8"), dtype=np.int64).tolist(), _expand(data)
+            texts = [data[i:j] for i, j in zip([0, *ends], ends)]
+            lists = [t.split() for t in texts]
+            words = Words([ws if i is not None else [] for i, ws in zip(ids, lists)], known)
+            first = len(plain)
+            for hashes, starts, doc, at in words.windows():
+                grams, best = _minimizers(hashes[:, 0])
+                places, inverse = np.unique(best[starts], return_inverse=True)
+                keep = np.flatnonzero(_often(grams[places], said, cells)[inverse])
+                h1 = _rolling(hashes[:, 0], WINDOW, _M1)[starts[keep]]
+                h2 = (_mix(_rolling(hashes[:, 1], WINDOW, _M2)[starts[keep]]) >> np.uint64(32)).astype("<u4")
+                found.append((h1, h2, first + doc[keep], at[keep]))
+            may = {int(d) - first for f in found for d in np.unique(f[2]) if d >= first}
+            plain += [(i, len(ws), _digest(ws), _squeeze(t) if with_text or n in may else None, part) for n, (i, ws, t) in enumerate(zip(ids, lists, texts))]
+        h1, h2, doc, at = map(np.concatenate, zip((np.empty(0, np.uint64), np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)), *found))
+        del found, known
+        ids = np.array([p[0] or 0 for p in plain], np.int64)[doc]
+        order = np.lexsort((ids, h2, h1))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
+        group = np.cumsum(fresh) - 1
+        least = ids[order][fresh]
+        sure = np.empty(len(order), bool)
+        sure[order] = ids[order] > least[group]  # a smaller document of this block has the window: no one else need be asked
+        number = np.empty(len(order), np.int64)
+        number[order] = group
+        head = order[fresh]
+        rank = np.empty(len(head), np.int64)  # distinct windows are numbered by the place of their smallest document, so that numbers follow the texts
+        rank[np.argsort(head)] = np.arange(len(head))
+        number, head = rank[number], np.sort(head)
+        owner = (h1[head] >> np.uint64(32)).astype(np.int64) * owners >> 32
+        rows = []
+        edges = np.searchsorted(doc, np.arange(len(plain) + 1))
+        for lo in range(0, max(1, len(plain)), 500):
+            own = range(lo, min(lo + 500, len(plain)))
+            spans = [slice(edges[d], edges[d + 1]) for d in own]
+            kept = [s.stop > s.start for s in spans]
+            starts = [_gaps(at[s]) if k else None for s, k in zip(spans, kept)]
+            bits = [np.packbits(sure[s]).tobytes() if k else None for s, k in zip(spans, kept)]
+            numbers = [_pack(np.diff(number[s], prepend=0).astype("<i4")) if k else None for s, k in zip(spans, kept)]
+            rows.append((block, -1, lo, *([plain[d][i] for d in own] for i in range(4)), starts, bits, numbers, _pack(owner.astype("<u4")) if not lo else None, None, None, None))
+        for o in np.unique(owner).tolist():
+            sent = head[owner == o]
+            rows.append((block, o, 0, *[None] * 8, _pack(h1[sent].astype("<u8")), _pack(h2[sent]), _pack(ids[sent].astype("<i8"))))
+        return pa.Table.from_batches([_table(rows, schema)])
 
-    def run(batches):
-        import zstandard
+    return run
 
-        known = WordHashes()
-        for batch in batches:
-            for b in slices(batch, "text", SLICE):
-                texts = b.column("text").cast(pa.binary()).to_pylist()
-                words = Words(texts, known)
-                may = set(words.doc[_often(words, sketch.value, cells)].tolist()) if words.any else set()
-                split = [t.split() for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("print"), pa.array(words.lengths), pa.array([_digest(w) for w in split]), pa.array([zstandard.compress(t, 3) if with_text or i in may else None for i, t in enumerate(texts)], pa.binary())],
-                    ["doc_id", "print", "n_words", "kept_sha256", "text"],
-                )
 
-    return run
+def _answer_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """An owner's windows: each block is told which of its own a smaller doc_id than its smallest has."""
+    asked = [[_unpack(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("h1", "<u8"), ("h2", "<u4"), ("least", "<i8"))]
+    h1, h2, least = map(np.concatenate, asked)
+    order = np.lexsort((least, h2, h1))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
+    gone = np.empty(len(order), bool)
+    gone[order] = least[order] > least[order][fresh][np.cumsum(fresh) - 1]
+    marks = [np.packbits(x).tobytes() for x in np.split(gone, np.cumsum([len(x) for x in asked[0]])[:-1])]
+    return pa.table({"block": table.column("block"), "owner": pa.array([key[0].as_py()] * len(marks), pa.int32()), "gone": pa.array(marks, pa.binary())})
+
+
+def _digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def remove_covered(words: list[bytes], starts: np.ndarray) -> list[bytes]:
@@ -226,49 +304,65 @@ def remove_covered(words: list[bytes], starts: np.ndarray) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
 
 
-def _finish(batches):
-    import zstandard
+FOUND = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
+
+
+def _finish(with_text: bool):
+    schema = arrow_schema(FOUND)
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        owner = _unpack(next(o for o in docs.column("owners").to_pylist() if o), "<u4")
+        gone, out = np.zeros(len(owner), bool), []
+        for o, marks in zip(*(answers.column(c).to_pylist() for c in ("owner", "gone"))):
+            at = np.flatnonzero(owner == o)
+            gone[at] = np.unpackbits(np.frombuffer(marks, np.uint8))[: len(at)].astype(bool)
+        for part in docs.select(["doc_ids", "n_words", "digests", "texts", "starts", "sure", "numbers"]).to_pylist():
+            rows = []
+            for doc_id, n, digest, text, starts, sure, numbers in zip(*part.values()):
+                left, removed = None, 0
+                if starts is not None:
+                    at = _from_gaps(starts)
+                    hit = np.unpackbits(np.frombuffer(sure, np.uint8))[: len(at)].astype(bool) | gone[np.cumsum(_unpack(numbers, "<i4"), dtype=np.int64)]
+                    if hit.any():
+                        left = remove_covered(_expand(text).split(), at[hit])
+                        removed, digest = n - len(left), _digest(left)
+                if with_text:
+                    left = b" ".join(_expand(text).split() if left is None else left)
+                rows.append((doc_id, n, removed, digest, left if with_text else None))
+            out.append(_table(rows, schema))
+        return pa.Table.from_batches(out, schema)
+
+    return run
 
-    for b in batches:
-        removed, digests, kept = [], b.column("kept_sha256").to_pylist(), []
-        for i, (text, starts) in enumerate(zip(b.column("text").to_pylist(), b.column("starts").to_pylist())):
-            words = left = None if text is None else zstandard.decompress(text).split()
-            if starts:
-                left = remove_covered(words, np.array(starts, np.int64))
-                digests[i] = _digest(left)
-            removed.append(len(words) - len(left) if starts else 0)
-            kept.append(None if left is None else b" ".join(left))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
-            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-        )
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None, with_text: bool = True) -> DataFrame:
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None, with_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by spaces).
 
     Words are runs of anything but ASCII white space. A word goes if a window of 50 words covers it
-    whose sequence also starts in a document with a smaller doc_id, judged on the input. A null text
-    has no words. Rows without an id neither lose words nor cost others theirs. Rows that repeat an
-    id are never compared with each other. An empty table gives no rows.
-
-    Without `with_text`, `kept` is missing and only texts with suspect windows are shuffled.
-    `cells` (a power of 2; by default it follows the bytes of text) sizes the sketch, the only thing
-    broadcast: a fuller sketch lets more windows through to the exact pass, and never fewer than
-    repeat. A window's group is reduced to its smallest id before and after the shuffle; the join
-    back is split by AQE where it is skewed.
+    whose sequence also starts in a document with a smaller doc_id, judged on the input. Sequences
+    are told apart by 96 bits: 64 and 32 bits of rolling hashes over two independent hashes of each
+    word. A null text has no words. Rows without an id neither lose words nor cost others theirs.
+    Rows that repeat an id are never compared with each other. An empty table gives no rows.
+
+    Texts are read once and kept with their block, in tables bucketed by block, and so are never
+    shuffled; nothing is broadcast or sent to the driver. A window that is in very many documents
+    reaches its owner once from each block. `cells` (a power of 2; by default it follows the bytes
+    of text) sizes the sketch: a fuller one lets more windows through to the exact pass, and never
+    fewer than repeat. Messages are at most blocks x owners: from about a TB of text on, larger
+    blocks and more cells and windows an owner (block_bytes, SHARD, OWNER_BYTES) keep these few.
+    Without `with_text`, `kept` is missing and only texts with suspect windows are written again.
     """
     spark = docs.sparkSession
-    texts = text_of(docs, id_col, text_col).withColumn("print", F.shiftrightunsigned(F.xxhash64("text"), 33))
-    known = texts.where("doc_id is not null")
-    cells = cells or cells_for(texts)
-    sketch = spark.sparkContext.broadcast(repeated_cells(known, cells))
-    windows = known.mapInArrow(_windows(sketch, cells), "h1 long, h2 int, doc_id long, at long")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    first = materialize(first, "windows")  # AQE splits a skewed join only where both sides come straight from a shuffle
-    marks = windows.hint("merge").join(first, ["h1", "h2"]).where("doc_id > least")
-    marks = marks.select("doc_id", F.shiftright("at", 32).alias("print"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("start"))
-    marks = marks.groupBy("doc_id", "print").agg(F.collect_set("start").alias("starts"))
-    rows = texts.mapInArrow(_plain(sketch, cells, with_text), "doc_id long, print long, n_words long, kept_sha256 string, text binary")
-    found = rows.join(marks.hint("merge"), ["doc_id", "print"], "left").mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    texts = text_of(docs, id_col, text_col)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = cells or max(SHARD, 1 << (size // CELL_BYTES).bit_length())
+    owners, buckets = 1 + size // OWNER_BYTES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // (4 * block_bytes))
+    sent = bucketed(texts.mapInArrow(_send_cells(cells, block_bytes), SENT), "cells", "block", buckets)
+    said = sent.where("row >= 0").select("block", "row", "shard", "cells", "more").groupBy("row", "shard").applyInArrow(_count_cells, "block long, row int, shard int, often binary")
+    own = sent.where("row < 0").select("block", "shard", "doc_ids", "sizes", "texts")
+    asked = own.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(_send_windows(cells, owners, with_text), ASKED)
+    asked = bucketed(asked, "windows", "block", buckets)
+    told = asked.where("owner >= 0").select("block", "owner", "h1", "h2", "least").groupBy("owner").applyInArrow(_answer_windows, "block long, owner int, gone binary")
+    own = asked.where("owner < 0").drop("owner", "part", "h1", "h2", "least")
+    found = own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_finish(with_text), FOUND)
     return found.withColumn("kept", F.col("kept").cast("string")) if with_text else found.drop("kept")

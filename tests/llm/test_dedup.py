@@ -172,21 +172,45 @@ def test_substrings(spark, rows):
     assert all(sha(r["kept"]) == r["kept_sha256"] for r in found.collect())
 
 
-def test_a_crowded_sketch_loses_nothing(spark, rows):
-    found = substring_cms.substring_dedup(frame(spark, rows), cells=substring_cms.SHARD, with_text=False)
+def test_a_crowded_sketch_loses_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(substring_cms, "SHARD", 64)
+    found = substring_cms.substring_dedup(frame(spark, rows), cells=128, with_text=False)
     assert by_key(found.collect()) == by_key(substrings(rows))
 
 
+def test_substrings_in_small_blocks_slices_and_segments(spark, rows, monkeypatch):
+    """Long texts in segments of 70 words, many blocks, and many owners of cells and windows."""
+    for name, value in (("SLICE", 600), ("SEGMENT", 70), ("OWNER_BYTES", 30_000), ("SHARD", 1 << 12)):
+        monkeypatch.setattr(substring_cms, name, value)
+    found = substring_cms.substring_dedup(frame(spark, rows).repartition(3), cells=1 << 15, block_bytes=20_000)
+    assert by_key(found.drop("kept").collect()) == by_key(substrings(rows))
+    assert all(sha(r["kept"]) == r["kept_sha256"] for r in found.collect())
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(0, 200), max_size=8), st.integers(50, 90))
+def test_windows_of_segments(counts, segment):
+    words = substring_cms.Words([[b"w%d" % (i * 31 + j) for j in range(n)] for i, n in enumerate(counts)], substring_cms.WordNumbers())
+    found = []
+    for hashes, starts, doc, at in words.windows(segment):
+        for s, d, a in zip(starts, doc, at):
+            assert (hashes[s : s + 50] == words.hashes[words.firsts[d] + a :][:50]).all()
+            found.append((d, a))
+    assert found == [(d, a) for d, n in enumerate(counts) for a in range(n - 49)]
+
+
 def test_estimates_are_never_too_low():
     rng = np.random.default_rng(1)
     texts = [" ".join(f"v{x}" for x in rng.integers(0, 3, 400)).encode() for _ in range(4)]
     texts += [texts[0][5:], b" ".join(texts[1].split()[30:200])]
-    words = substring_cms.Words(texts, substring_cms.WordHashes())
+    words = substring_cms.Words([t.split() for t in texts], substring_cms.WordNumbers())
     windows = [tuple(w[i : i + 50]) for w in map(bytes.split, texts) for i in range(len(w) - 49)]
-    anchors = words.grams[np.unique(words.anchors)]
-    counts = dict(zip(*np.unique(anchors, return_counts=True)))
-    for window, anchor in zip(windows, words.anchors):
-        assert counts[words.grams[anchor]] >= windows.count(window) if windows.count(window) > 1 else True
+    ((hashes, starts, _, _),) = words.windows()
+    grams, best = substring_cms._minimizers(hashes[:, 0])
+    anchors = best[starts]
+    counts = dict(zip(*np.unique(grams[np.unique(anchors)], return_counts=True)))
+    for window, anchor in zip(windows, anchors):
+        assert counts[grams[anchor]] >= windows.count(window) if windows.count(window) > 1 else True
 
 
 @pytest.mark.parametrize("f", [exact_dedup.exact_dedup, exact_dedup.drop_exact_copies, simhash_ball.simhash_components, simhash_ball.drop_near_copies, substring_cms.substring_dedup])
