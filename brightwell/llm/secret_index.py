@@ -14,7 +14,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import materialize, text_of
+from brightwell.llm.common import columns_of, materialize, text_of
 
 
 @dataclass(frozen=True)
@@ -126,53 +126,93 @@ def candidates(texts: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return met.groupBy("key").agg(F.collect_set("kind").alias("rules"))
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start,end>>: code point offsets of the rule's kept matches in the text.
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda's variable isn't computed anew for each element of an inner array."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
-    The parts between matches and the matches themselves give the offsets.
+
+#: Running totals are built in parts of so many elements, as each step of an aggregate copies its state.
+PART = 256
+
+
+def _running(values: Column, add) -> Column:
+    """array<int>: values[0], add(values[0], values[1]), ... of an array of integers from 0 on; add is a sum or a maximum.
+
+    Parts have their own totals, to each of which that of the parts before it is added, so the work
+    grows with the array's length (up to some millions of elements).
+    """
+
+    def steps(part: Column) -> Column:  # 0, then the totals
+        return F.aggregate(part, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+
+    def whole(parts: Column) -> Column:
+        before = steps(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda p, b: F.transform(F.slice(p, 2, PART), lambda x: add(b, x))))
+
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int")), lambda i: steps(F.slice(v, i * PART + 1, F.lit(PART))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(_let(_let(values, cut), whole))
+
+
+SPAN = "struct<start:int,rule:int,end:int,start_byte:int,end_byte:int>"
+
+
+def spans(text: Column, rule: Rule, number: int) -> Column:
+    """array<SPAN> of the rule's kept matches in the text: offsets in code points and in bytes of UTF-8.
+
+    The parts between matches and the matches themselves give the offsets, by running totals.
     """
     pattern = F.lit(rule.scan or rule.pattern)
     gaps, hits, values = F.split(text, rule.scan or rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    sizes = F.zip_with(F.transform(gaps, F.length), F.arrays_zip(F.transform(hits, F.length).alias("hit"), F.transform(values, F.length).alias("value")), lambda g, h: F.struct(g.alias("gap"), h["hit"].alias("hit"), h["value"].alias("value")))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        end = start + F.coalesce(s["hit"], F.lit(0))
-        keep = s["value"].isNotNull() & (s["value"] >= rule.least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
+    def of_match(gap: Column, hit: Column, value: Column) -> Column:
+        return F.struct((F.length(gap) + F.length(hit)).alias("chars"), (F.octet_length(gap) + F.octet_length(hit)).alias("bytes"), F.length(hit).alias("hit"), F.octet_length(hit).alias("hit_bytes"), F.length(value).alias("value"))
 
-    return F.aggregate(sizes, nothing, add, lambda acc: acc["out"])
+    # the part behind the last match has none and falls away
+    matches = F.filter(F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h"), values.alias("v")), lambda x: of_match(x["g"], x["h"], x["v"])), lambda m: m["hit"].isNotNull())
 
+    def placed(m: Column) -> Column:
+        ends = _running(F.transform(m, lambda x: x["chars"]), lambda a, x: a + x)
+        end_bytes = _running(F.transform(m, lambda x: x["bytes"]), lambda a, x: a + x)
+        every = F.transform(F.arrays_zip(m.alias("m"), ends.alias("e"), end_bytes.alias("b")), lambda x: F.struct(x["m"]["value"].alias("value"), _span(x["e"] - x["m"]["hit"], number, x["e"], x["b"] - x["m"]["hit_bytes"], x["b"]).alias("span")))
+        return F.transform(F.filter(every, lambda x: x["value"] >= rule.least), lambda x: x["span"])
 
-def secret_spans(docs: DataFrame, rules: list[Rule] = BASE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text, and spans, array<struct<start, rule, end>> by start, then rule.
+    return _let(matches, placed)
 
-    rule is the number of the rule in the list; offsets are code points, the end exclusive. A null
-    text is an empty one; a null doc_id stays; rows that repeat a document repeat in the result; an
-    empty table gives no rows; other columns are ignored. Each text is read once for the index and
-    once for verifying; the candidates' table is small beside the texts, and Spark broadcasts it
-    only where its written size is under spark.sql.autoBroadcastJoinThreshold.
-    """
-    texts = text_of(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+
+def _span(start: Column, number: int, end: Column, start_byte: Column, end_byte: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(number).alias("rule"), end.alias("end"), start_byte.alias("start_byte"), end_byte.alias("end_byte"))
+
+
+def _with_spans(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rows (row, text, key) with spans, array<SPAN> by start, then rule; key: of a document, alike in equal ones."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {kind: query for kind, query in queries.items() if query != ANYTHING}
     if indexed:
-        texts = texts.join(materialize(candidates(texts, indexed), "candidates"), "key", "left")
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+        rows = rows.join(materialize(candidates(rows, indexed), "candidates"), "key", "left")
     found = []
     for number, rule in enumerate(rules):
         asked = F.col("text").rlike(rule.scan or rule.pattern)
         if rule.kind in indexed:
             asked = F.coalesce(F.array_contains("rules", rule.kind), F.lit(False)) & asked
-        own = F.when(asked, spans(F.col("text"), rule)).otherwise(empty)
-        found.append(F.transform(own, _numbered(number)))
-    return texts.select("doc_id", "text", F.sort_array(F.concat(*found)).alias("spans"))
+        found.append(F.when(asked, spans(F.col("text"), rule, number)).otherwise(F.array().cast(f"array<{SPAN}>")))
+    return rows.select("row", "text", F.sort_array(F.concat(*found)).alias("spans"))
 
 
-def _numbered(rule: int):
-    """A function of one argument only: one with two would get the element's index."""
-    return lambda s: F.struct(s["start"].alias("start"), F.lit(rule).alias("rule"), s["end"].alias("end"))
+def secret_spans(docs: DataFrame, rules: list[Rule] = BASE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, text, and spans, array<SPAN> by start, then rule.
+
+    rule is the number of the rule in the list; offsets are code points (and bytes), the end
+    exclusive. A null text is an empty one; a null doc_id stays; rows that repeat a document repeat
+    in the result; an empty table gives no rows; other columns are ignored. The work for a text grows
+    with its length and its matches. Each text is read once for the index and once for verifying; the
+    candidates' table is small beside the texts, and Spark broadcasts it only where its written size
+    is under spark.sql.autoBroadcastJoinThreshold; else texts are shuffled once to meet it.
+    """
+    texts = text_of(docs, id_col, text_col)
+    found = _with_spans(texts.select(F.col("doc_id").alias("row"), "text", F.xxhash64("doc_id", "text").alias("key")), rules)
+    return found.withColumnRenamed("row", "doc_id")
 
 
 def span_count(found: Column, rule: int) -> Column:
@@ -186,26 +226,35 @@ def span_list(found: Column, rules: list[Rule] = BASE_RULES) -> Column:
 
 
 def masked(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by the mask."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each run of overlapping spans (array<SPAN>, in order) replaced by the mask.
+
+    It is put together from the parts between the runs, cut out of its bytes by their offsets.
+    """
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def joined(x: Column) -> Column:
+        reach = F.transform(x["ends"], lambda e: e)
+        pairs = F.arrays_zip(x["found"].alias("span"), F.concat(F.array(F.lit(0)), reach).alias("before"))
+        fresh = F.filter(pairs, lambda p: p["span"].isNotNull() & (p["span"]["start_byte"] >= p["before"]))
+        gaps = F.transform(fresh, lambda p: F.substring(x["data"], p["before"] + 1, p["span"]["start_byte"] - p["before"]).cast("string"))
+        rest = F.substring(x["data"], F.element_at(x["ends"], -1) + 1, F.octet_length(x["data"])).cast("string")
+        return F.array_join(F.concat(gaps, F.array(rest)), mask)
 
-    done = F.aggregate(found, start, add)
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    ends = _running(F.transform(found, lambda s: s["end_byte"]), lambda a, e: F.greatest(a, e))
+    whole = F.struct(text.cast("binary").alias("data"), found.alias("found"), ends.alias("ends"))
+    return F.when(F.size(found) == 0, text).otherwise(_let(whole, joined))
 
 
 def mask_secrets(docs: DataFrame, rules: list[Rule] = BASE_RULES) -> DataFrame:
-    """docs (all its columns) with the secrets in text masked and n_chars, where there is one, kept true; no row is dropped."""
-    found = secret_spans(docs.where("text is not null"), rules).where(F.size("spans") > 0)
-    changed = found.select(F.col("doc_id").alias("m_id"), F.xxhash64("doc_id", "text").alias("m_key"), masked(F.col("text"), F.col("spans")).alias("m_text")).dropDuplicates(["m_id", "m_key"])
-    same = docs["doc_id"].eqNullSafe(changed["m_id"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == changed["m_key"])
-    joined = docs.join(changed, same, "left")
-    columns = []
-    for c in docs.columns:
-        new = {"text": changed["m_text"], "n_chars": F.length(changed["m_text"]).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}.get(c)
-        columns.append(docs[c] if new is None else F.coalesce(new, docs[c]).alias(c))
-    return joined.select(*columns)
+    """docs (all its columns) with the secrets in text masked and n_chars, where there is one, kept true for the rows that change.
+
+    No row is dropped: rows with null ids, null or empty texts and repeated rows stay, an empty table
+    gives no rows. Rows travel whole through secret_spans' one pass, so nothing is joined back.
+    """
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), text.alias("text"), F.xxhash64(docs["doc_id"], text).alias("key"))
+    found = _with_spans(rows, rules).select("row", "spans", masked(F.col("text"), F.col("spans")).alias("new"))
+    new = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    same = F.size("spans") == 0
+    return found.select(*(F.when(same, F.col("row")[c]).otherwise(new[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
