@@ -111,17 +111,23 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the undirected edges (src, dst): root is the smallest node reached.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014) as joins and min-aggregates;
-    no neighbour list is ever gathered, so a hub is a skewed join key that AQE splits. Each round is
-    written to the shared folder. The number of rounds grows with the logarithm of the longest chain.
+    no neighbour list is ever gathered. Both sides of each join are read from tables just written, so
+    a hub is a skewed join key that AQE splits (it does so only where a side comes straight from its
+    shuffle), or the least neighbours are broadcast where their size is under Spark's threshold. The
+    number of rounds grows with the logarithm of the longest chain.
     """
     pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     pairs, before = materialize(pairs.distinct(), "links"), None
+
+    def to_least(rows: DataFrame, least: DataFrame, kept: str) -> DataFrame:
+        return rows.where(kept).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
     for _ in range(most_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").hint("merge").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.hint("merge").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialize(to_least(both, least, "v > u").distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = to_least(large, least, "true").where("u <> v")
         pairs = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

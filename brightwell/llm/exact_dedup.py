@@ -149,10 +149,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs (all its columns) without the rows that exact_dedup drops; copies of the kept row stay one."""
+    """docs (all its columns) without the rows that exact_dedup drops.
+
+    Rows that repeat the kept row's id and text stay with it. A null text equals an empty one; of a
+    group whose ids are all null every row stays; an empty table gives no rows.
+    """
     texts = text_of(docs, "doc_id", "text")
     groups = materialize(copy_groups(texts), "groups")
     lost = texts.select("doc_id", F.sha2("text", 256).alias("text_sha256")).join(groups.hint("merge"), "text_sha256").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha")).distinct()
+    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha"))
     same = docs["doc_id"].eqNullSafe(lost["lost_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == lost["lost_sha"])
     return docs.join(lost, same, "left_anti")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightwell.llm.common import connected_components, materialize, slices, text_of
+from brightwell.llm.minhash_bands import bands, digest_key, lost_texts
 
 RADIUS = 2
 
@@ -43,7 +44,7 @@ def _fingerprints(batches):
     for batch in batches:
         for b in slices(batch, "text"):
             prints = np.fromiter((fingerprint(t) for t in b.column("text").cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(prints.view(np.int64))], ["doc_id", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -59,23 +60,6 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= RADIUS)
 
 
-def _text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
-def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, fp, component_id): one row per document; key is its text's."""
-    texts = text_of(docs, id_col, text_col).withColumn("key", _text_key(F.col("text")))
-    prints = materialize(texts.mapInArrow(_fingerprints, "doc_id long, key long, fp long"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(prints.select("fp").distinct()))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(classes.hint("merge"), "fp")
-
-
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -85,31 +69,48 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null. Repeated rows repeat in the result. An empty table gives no rows. Equal fingerprints meet
     in a partial aggregate, so a large group of copies is one node.
     """
-    return _placed(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingles(text: bytes, width: int = 5) -> set[bytes]:
-    """The `width`-word shingles of a lower-cased text; one with fewer words is one shingle."""
-    words = text.lower().split()
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-
-
-def shared(x: set, y: set) -> float:
-    """Jaccard similarity of two sets, not both empty."""
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+    prints = materialize(text_of(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(links(prints.select("fp").distinct()))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = materialize(placed, "placed")
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
+    classes = materialize(classes, "classes")  # read from a table, so that a fingerprint of very many documents is a key that AQE can split
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_jaccard(a: bytes, b: bytes, width: int = 5) -> float:
-    """Jaccard similarity of the sets of `width`-word shingles; texts with fewer words are one shingle."""
-    return shared(shingles(a, width), shingles(b, width))
+def _signed(batches):
+    """(doc_id, key, fp, n, bands): a text's fingerprint, its count of shingles and the hashes of its bands."""
+    for batch in batches:
+        for b in slices(batch, "text"):
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+            found = [bands(t) for t in texts]
+            lists = pa.array([h for _, h in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(prints.view(np.int64)), pa.array([n for n, _ in found], pa.int64()), lists], ["doc_id", "key", "fp", "n", "bands"])
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs (all its columns) with one document of each SimHash component: that of the smallest doc_id.
-
-    Rows of the id that stays are that document, and stay with it. Where rows of one id have unlike
-    texts, each goes or stays by its own text's component. Documents without an id are never dropped.
+    """docs (all its columns) without near copies: a row goes only if a row that stays has a text alike to its own.
+
+    Texts are alike when their sets of five-word shingles (word_jaccard: lower-cased, split at white
+    space; fewer words: one shingle; null, empty and blank texts are alike) have a Jaccard similarity
+    of 0.8 or more, counted on whole texts. Candidates are texts of one SimHash component, and texts
+    that share a band of MinHash values, as few pairs of 0.8 are within the radius. The smallest
+    doc_id stays; a null id is above all others. Of one text, the rows of its smallest id stay. Rows
+    of one id with unlike texts go or stay by their own text. An empty table gives no rows. Texts are
+    told apart by their MD5.
     """
-    lost = _placed(docs, "doc_id", "text").where("doc_id <> component_id").select(F.col("doc_id").alias("lost_id"), F.col("key").alias("lost_key")).distinct()
-    return docs.join(lost, (docs["doc_id"] == lost["lost_id"]) & (_text_key(docs["text"]) == lost["lost_key"]), "left_anti")
+    texts = text_of(docs, "doc_id", "text").withColumn("key", digest_key(F.col("text")))
+    signed = materialize(texts.mapInArrow(_signed, "doc_id long, key binary, fp long, n long, bands array<long>"), "signatures")
+    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("fp", "n", "bands")))
+    roots = connected_components(links(signed.select("fp").distinct()))
+    component = F.xxhash64(F.lit("component"), F.coalesce("root", "fp"))
+    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("bands", F.concat("bands", F.array(component)))
+    nodes = materialize(nodes.select("key", "least", "copies", "n", "bands"), "nodes")
+    gone = materialize(lost_texts(nodes, texts.select("key", "text")).withColumn("gone", F.lit(True)), "gone")
+    marked = materialize(nodes.select("key", "least", "copies").join(gone, "key", "left").where("gone or copies > 1"), "marked")
+    lost = signed.select("doc_id", "key").join(marked, "key").where(F.col("gone").isNotNull() | ~F.col("doc_id").eqNullSafe(F.col("least")))
+    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("key").alias("lost_key"))
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["lost_id"]) & (digest_key(docs["text"]) == lost["lost_key"]), "left_anti")

@@ -79,6 +79,25 @@ def near(rows):
     return [(i, f"{p:016x}", least.get(root(p))) for (i, _), p in zip(rows, prints)]
 
 
+def word_jaccard(a, b):
+    """Of the sets of five-word shingles of two texts (fewer words: one shingle)."""
+    sets = []
+    for t in (a, b):
+        words = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def alike_kept(rows):
+    """Greedy in the order of ids, by brute force: a text goes if a smaller one that stays is 0.8 alike."""
+    kept = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        text = (t or "").encode()
+        if text not in kept and all(word_jaccard(text, k) < 0.8 for k in kept):
+            kept[text] = i
+    return [(i, t) for i, t in rows if kept.get((t or "").encode(), "none") == i]
+
+
 def substrings(rows):
     split = [(i, re.findall(r"[^\x20\x09-\x0d]+", t or "")) for i, t in rows]
     first = {}
