@@ -23,9 +23,16 @@ MERGE = 32
 
 def quantize(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(int8 codes, scale of each row, norm of the rest) of float64 rows: row = scale * codes + rest."""
-    scale = np.abs(x).max(axis=1) / 127
-    codes = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
-    return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
+    with np.errstate(all="ignore"):
+        scale = np.maximum(np.abs(x).max(axis=1) / 127, 1e-300)  # a smaller one could underflow
+        codes = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
+        return codes, scale, norms(x - codes * scale[:, None])
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    """Norms of rows, not too small where squares underflow; infinite where they overflow."""
+    with np.errstate(all="ignore"):
+        return np.linalg.norm(x, axis=1) + 1e-150
 
 
 def _blocks(kind: str, most_rows: int):
@@ -34,7 +41,7 @@ def _blocks(kind: str, most_rows: int):
 
     def row(ids: np.ndarray, x: np.ndarray, part: int) -> tuple:
         codes, scale, lost = quantize(x.astype(np.float64))
-        norm = np.linalg.norm(x.astype(np.float64), axis=1)
+        norm = norms(x.astype(np.float64))
         return x.shape[1], part, len(ids), ids.astype("<i8").tobytes(), codes.tobytes(), scale.tobytes(), lost.tobytes(), norm.tobytes(), x.tobytes()
 
     def run(batches):
@@ -73,40 +80,66 @@ class _Side:
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of paired rows in double precision, the terms added in order."""
     total = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        total += a[:, d].astype(np.float64) * b[:, d].astype(np.float64)
+    with np.errstate(all="ignore"):
+        for d in range(a.shape[1]):
+            total += a[:, d].astype(np.float64) * b[:, d].astype(np.float64)
     return total
 
 
-def tile(q: _Side, c: _Side, k: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, exact products): for each query, at least its k nearest of these candidates."""
+def tile(q: _Side, c: _Side, k: int, rows: int = 256, columns: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, candidate ids, exact products): for each query, its k nearest of these candidates, each id once.
+
+    A tile is `rows` queries by `columns` candidates. What a query has found so far is carried on: its
+    k-th best product bounds the pairs of later tiles. Bounds that aren't finite exclude nothing.
+    """
     wide = np.float32 if 127 * 127 * q.codes.shape[1] < 1 << 24 else np.float64  # sums of code products stay exact
-    columns = c.codes.astype(wide).T
-    c_norm = c.norm + c.lost
-    keep = min(len(c.ids), (k + 1) * int(np.unique(c.ids, return_counts=True)[1].max()))
-    repeats = int(np.unique(q.ids, return_counts=True)[1].max())
     out = []
     for lo in range(0, len(q.ids), rows):
-        hi = min(lo + rows, len(q.ids))
-        near = (q.codes[lo:hi].astype(wide) @ columns).astype(np.float64) * (q.scale[lo:hi, None] * c.scale)
-        bound = (q.norm[lo:hi] + q.lost[lo:hi])[:, None] * c.lost + q.lost[lo:hi, None] * c_norm
-        bound += 1e-12 * (q.norm[lo:hi, None] * c_norm)
-        own = q.ids[lo:hi, None] == c.ids
-        low = np.where(own, -np.inf, near - bound)
-        least = np.partition(low, len(c.ids) - keep, axis=1)[:, len(c.ids) - keep]
-        qi, ci = np.nonzero(((near + bound) >= least[:, None]) & ~own)
-        qi += lo
-        score = exact_products(q.vectors[qi], c.vectors[ci])
-        qid, cid = q.ids[qi], c.ids[ci]
-        order = np.lexsort((cid, -score, qid))
-        qid, cid, score = qid[order], cid[order], score[order]
-        fresh = np.flatnonzero(np.diff(qid, prepend=qid[0] - 1) != 0) if len(qid) else np.empty(0, np.int64)
-        rank = np.arange(len(qid)) - np.repeat(fresh, np.diff(np.append(fresh, len(qid))))
-        short = rank < keep * repeats
-        out.append((qid[short], cid[short], score[short]))
+        own = slice(lo, min(lo + rows, len(q.ids)))
+        codes, n = q.codes[own].astype(wide), own.stop - lo
+        row, cid, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        kth = np.full(n, -np.inf)
+        for at in range(0, len(c.ids), columns):
+            side = slice(at, min(at + columns, len(c.ids)))
+            with np.errstate(all="ignore"):
+                near = (codes @ c.codes[side].astype(wide).T).astype(np.float64) * (q.scale[own, None] * c.scale[side])
+                c_norm = c.norm[side] + c.lost[side]
+                bound = (q.norm[own] + q.lost[own])[:, None] * c.lost[side] + q.lost[own, None] * c_norm
+                bound += 1e-12 * (q.norm[own, None] * c_norm) + 1e-300
+                low, high = near - bound, near + bound
+            sure = np.isfinite(low) & np.isfinite(high)
+            low, high = np.where(sure, low, -np.inf), np.where(sure, high, np.inf)
+            self_pairs = q.ids[own, None] == c.ids[side]
+            low[self_pairs] = -np.inf
+            repeats = int(np.unique(c.ids[side], return_counts=True)[1].max())
+            keep = k * repeats  # so many rows hold k ids at least
+            least = kth if keep > low.shape[1] else np.maximum(kth, np.partition(low, low.shape[1] - keep, axis=1)[:, low.shape[1] - keep])
+            qi, ci = np.nonzero((high >= least[:, None]) & ~self_pairs)
+            row = np.concatenate((row, qi))
+            score = np.concatenate((score, exact_products(q.vectors[own][qi], c.vectors[side][ci])))
+            cid = np.concatenate((cid, c.ids[side][ci]))
+            row, cid, score = _best(row, cid, score, k)
+            counts = np.bincount(row, minlength=n)
+            full = np.flatnonzero(counts >= k)
+            kth[full] = np.fmax(score[(np.cumsum(counts) - 1)[full]], -np.inf)  # no number bounds nothing
+        out.append((q.ids[own][row], cid, score))
     return tuple(map(np.concatenate, zip(*out)))
 
 
+def _best(row: np.ndarray, cid: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, in order: by product, then id; of an id, its best product."""
+    order = np.lexsort((-score, cid, row))
+    row, cid, score = row[order], cid[order], score[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (np.diff(row) != 0) | (np.diff(cid) != 0)
+    row, cid, score = row[first], cid[first], score[first]
+    order = np.lexsort((cid, -score, row))
+    row, cid, score = row[order], cid[order], score[order]
+    starts = np.searchsorted(row, row, side="left")
+    short = np.arange(len(row)) - starts < k
+    return row[short], cid[short], score[short]
+
+
 PAIRS = "bucket long, node long, query_id long, vec_id long, score double"
 
 
@@ -126,9 +159,9 @@ def _tile(k: int, kind: str):
 
 
 def merge_heaps(lists: list[list[tuple[float, int]]], k: int) -> list[tuple[float, int]]:
-    """The k first of sorted lists of (-score, id), each id once, by a heap over the lists' heads."""
+    """The k first of sorted lists of (-score, id), each id once, by a heap over the lists' heads; no numbers come last."""
     out, seen = [], set()
-    for score, i in heapq.merge(*lists):
+    for score, i in heapq.merge(*lists, key=lambda p: (p[0] != p[0], *p)):
         if i not in seen:
             seen.add(i)
             out.append((score, i))
@@ -160,24 +193,31 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 4096, candidate_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 4096, block_rows: int = 1024, group_bytes: int = 16 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product of each row whose id is divisible by `every`.
 
-    Exact: bounds discard only pairs that k others beat for certain. Ties go to the smaller vec_id;
-    a row never finds its own id. Vectors that `usable` refuses take no part; vectors of unlike
-    lengths never meet. Rows that repeat an id are candidates each, and an id is listed once, at its
-    best score. With fewer than k candidates all are listed; an empty table gives no rows. Other
-    columns are ignored.
+    Exact: bounds discard only pairs that k others beat for certain, and bounds that overflow discard
+    nothing. Ties go to the smaller vec_id; a row never finds its own id. Vectors that `usable`
+    refuses take no part; vectors of unlike lengths never meet. Pairs whose product is no number
+    (infinities of both signs among its terms) come last. Rows that repeat an id are candidates each,
+    and an id is listed once, at its best score. With fewer than k candidates all are listed; an
+    empty table gives no rows. Other columns are ignored.
 
     Every group of queries meets every group of candidates in one task that holds these two groups
-    only; group counts follow the row counts. Short lists are merged in rounds of MERGE groups.
+    only: about `query_rows` queries and `group_bytes` of candidates' vectors, whatever their length.
+    A task carries each query's k best over its candidates and returns no more than these. Short lists are merged in rounds of MERGE groups.
     """
     rows = usable(vectors, id_col, vector_col)
+    spark = vectors.sparkSession
     kind = "<f8" if isinstance(vectors.schema[vector_col].dataType.elementType, T.DoubleType) else "<f4"
-    candidates = materialize(rows.mapInArrow(_blocks(kind, candidate_rows), BLOCK), "candidates")
-    queries = materialize(rows.where(F.col("vec_id") % every == 0).mapInArrow(_blocks(kind, query_rows), BLOCK), "queries")
-    n_c, n_q = ((t.agg(F.sum("n")).first()[0] or 0) for t in (candidates, queries))
-    groups_c, groups_q = max(1, -(-n_c // candidate_rows)), max(1, -(-n_q // query_rows))
+    candidates = materialize(rows.mapInArrow(_blocks(kind, block_rows), BLOCK), "candidates")
+    queries = materialize(rows.where(F.col("vec_id") % every == 0).mapInArrow(_blocks(kind, block_rows), BLOCK), "queries")
+    n_c, bytes_c = candidates.agg(F.sum("n"), F.sum(F.octet_length("vectors"))).first()
+    n_q = queries.agg(F.sum("n")).first()[0] or 0
+    groups_q = max(1, -(-n_q // query_rows))
+    # no fewer tasks than the session has partitions for, where there are blocks enough
+    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")) // groups_q, (n_c or 0) // (4 * block_rows))
+    groups_c = max(1, spread, -(-(bytes_c or 0) // group_bytes))
 
     def group(count: int):
         return F.pmod(F.xxhash64("dim", "part"), F.lit(count))
@@ -194,6 +234,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         if width == 1:
             break
     # an id that several query rows share may have a list in several buckets
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = found.groupBy("query_id", "vec_id").agg(F.coalesce(F.max(F.when(~F.isnan("score"), F.col("score"))), F.lit(float("nan"))).alias("score"))
     ranked = found.select("query_id", F.struct((-F.col("score")).alias("less"), "vec_id").alias("near")).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("near")), 1, k).alias("near"))
     return ranked.select("query_id", F.posexplode("near").alias("at", "near")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("near.vec_id").alias("vec_id"), (-F.col("near.less")).alias("score"))

@@ -101,10 +101,21 @@ def test_nearest(spark, rows):
     vectors += [(200, None), (220, [0.0] * 8), (240, [float("nan")] * 8), (260, [1.0, None] + [0.0] * 6), (280, []), (300, [float("inf")] + [1.0] * 7), (None, [1.0] * 8)]
     vectors += [(400 + i, vectors[20][1]) for i in range(30)] + [(20, vectors[20][1])] * 3 + [(7, [9.0] * 8)] * 40 + [(500, [1.0, 2.0]), (501, [2.0, 1.0]), (520, [1e-30] * 8), (521, [1e18] * 8)]
     df = spark.createDataFrame([(i, v, "x", 2) for i, v in vectors], "vec_id long, embedding array<float>, n string, dim int").repartition(5)
-    found = block_ann.nearest(df, query_rows=rows, candidate_rows=rows).collect()
+    found = block_ann.nearest(df, query_rows=rows, block_rows=rows, group_bytes=32 * rows).collect()
     assert by_key(map(tuple, found)) == by_key(brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]))
 
 
+@pytest.mark.parametrize("rows", [4, 1024])
+def test_nearest_of_odd_doubles(spark, rows):
+    """Products that overflow, subnormal components, and scales so far apart that bounds are infinite: nothing is lost."""
+    rng = np.random.default_rng(12)
+    vectors = [(i, (rng.normal(size=3) * 10.0 ** float(rng.integers(-320, 150))).tolist()) for i in range(60)]
+    vectors += [(100, [1e200, 5e-324, 1.0]), (101, [5e-324, 0.0, 0.0]), (102, [1e-200, 1e200, 0.0]), (120, [5e-324, 5e-324, 5e-324]), (121, [1e200, 1e200, 1e200]), (140, [1e150, 0.0, 0.0])]
+    found = block_ann.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3), query_rows=rows, block_rows=rows, group_bytes=24 * rows).collect()
+    with np.errstate(all="ignore"):
+        assert by_key(map(tuple, found)) == by_key(brute(vectors))
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in block_ann.nearest(df).collect()] == [(0, 1, 1, 0.5)]
