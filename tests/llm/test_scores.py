@@ -127,3 +127,31 @@ print("scored")
 def test_features():
     assert ordinal_toxicity.features("It's a-b  Longest longest, LONGEST") == {"it", "s", "a", "b", "longest", "^longe", "longest+", "^longe+"}
     assert ordinal_toxicity.features("") == set()
+
+
+def test_clashing_columns_change_nothing(spark):
+    """Columns named like those that training uses, on documents and on labels."""
+    rows = [(i, f"word {i} " * (i % 7 + 1) + "!" * (i % 2 * 9)) for i in range(60)]
+    labels = labels_of(spark, [(i, i % 2, i % 2) for i in range(60)])
+    docs = frame(spark, rows)
+    more = docs.selectExpr("*", "'x' label", "'x' label_id", "'x' _n", "'x' text_", "'x' doc", "'x' quality", "'x' toxic", "'x' `a.b`")
+    wide = labels.selectExpr("*", "'x' text", "'x' label", "'x' label_id")
+    plain = quality_rules.score_quality(docs, labels).collect()
+    assert sorted(map(tuple, quality_rules.score_quality(more, wide).collect())) == sorted(map(tuple, plain))
+    kept = quality_rules.drop_low_quality(more, wide)
+    assert kept.columns == more.columns and kept.count() == sum(r["predicted"] for r in plain)
+
+
+def test_held_out_rows_are_never_learned_from(spark):
+    """held_out is zlib's crc32 of the id, and other labels there change no score."""
+    import zlib
+
+    rows = [(i, f"word {i} " * (i % 7 + 1) + "!" * (i % 2 * 9)) for i in range(80)]
+    out = {i for i in range(80) if zlib.crc32(str(i).encode()) % 5 == 0}
+    found = []
+    for turned in (False, True):
+        labels = labels_of(spark, [(i, (i + (turned and i in out)) % 2, (i + (turned and i in out)) % 2) for i in range(80)])
+        scored = quality_rules.score_quality(frame(spark, rows), labels).collect()
+        assert {r["doc_id"] for r in scored if r["held_out"]} == out
+        found.append(sorted(map(tuple, scored)))
+    assert found[0] == found[1]
