@@ -6,6 +6,7 @@ sample found to tell toxic texts from others. The expected grade is the severity
 """
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import held_out, slices, text_of
+from brightwell.llm.common import held_out, materialize, slices, text_of
 
 #: Fixed: what parts the words of features; A-Z are lower-cased before.
 EDGES = r"[\s!-/:-@\[-`{-~]+"
@@ -139,13 +140,32 @@ def _marked(words):
     return run
 
 
+def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, features: int, folds: int = 2, steps: int = 400) -> np.ndarray:
+    """Grades 0 (not toxic), 1 and 2 of texts whose labels only say toxic or not.
+
+    Each fold's texts are scored by a binary model that is fitted on the other folds, so no text's own
+    label sets its grade: a toxic text is 2 where that score is at least the median of its fold's toxic
+    texts, that is, where others' labels make it plainly toxic, and 1 where they leave it in doubt.
+    Texts with equal features are in one fold. A fold without toxic texts elsewhere has grade 2 only.
+    """
+    fold = np.array([zlib.crc32(r.astype("<i8").tobytes()) % folds for r in rows], np.int64)
+    grades = np.zeros(len(rows), np.int64)
+    for f in range(folds):
+        own = np.flatnonzero((fold == f) & (toxic == 1))
+        if len(own):
+            others = np.flatnonzero(fold != f)
+            weights = fit_ordinal([rows[i] for i in others], toxic[others], features, 2, steps=steps)[0] if toxic[others].any() else np.zeros(features)
+            margin = np.array([weights[rows[i]].sum() for i in own])
+            grades[own] = np.where(margin >= np.median(margin), 2, 1)
+    return grades
+
+
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_words: int = 1024) -> OrdinalModel:
-    """The model of grades 0 (labelled not toxic), 1 and 2 (labelled toxic; 2 from their median count of telling features on).
+    """The model of grades 0 (labelled not toxic), 1 and 2 (labelled toxic, see severity_grades).
 
-    Labels have no grades between, so severity among toxic texts is how many telling features they
-    have. Only at most 2 x most_rows lists of at most most_words numbers reach the driver.
+    Only at most 2 x most_rows lists of at most most_words numbers reach the driver.
     """
-    sample = _sample(docs, labels, most_rows)
+    sample = materialize(_sample(docs, labels, most_rows), "toxic-sample")
     words = telling_words(sample, most_words)
     if not words:
         return OrdinalModel({}, np.empty(0), np.array([8.0, 9.0]))
@@ -154,9 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_word
     rows = sample.select("text", "toxic").mapInArrow(_marked(shared), "toxic int, numbers array<int>").limit(2 * most_rows).collect()
     rows = sorted((r["toxic"], tuple(r["numbers"])) for r in rows)
     toxic = np.array([r[0] for r in rows])
-    count = np.array([len(r[1]) for r in rows])
-    grades = np.where(toxic == 0, 0, np.where(count >= np.median(count[toxic == 1]), 2, 1))
-    weights, thresholds = fit_ordinal([np.array(r[1], np.int64) for r in rows], grades, len(words), 3)
+    held = [np.array(r[1], np.int64) for r in rows]
+    weights, thresholds = fit_ordinal(held, severity_grades(held, toxic, len(words)), len(words), 3)
     return OrdinalModel(number, weights, thresholds)
 
 
@@ -178,6 +197,10 @@ def _score(parts, threshold: float):
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 20_000, most_words: int = 1024) -> DataFrame:
     """One row per document: doc_id, held_out, score (probability of a grade above 0), severity (expected grade, 0 to 2), toxic (score >= threshold).
 
+    Features are telling words and beginnings that at least 5 toxic texts of the sample have (telling_words), their weights
+    are not below zero (fit_ordinal), and severity's grades come from out-of-fold scores (severity_grades): it says how surely
+    other texts' labels make a text toxic, as labels hold no grades of their own.
+
     The whole text is read, in one pass without a shuffle (only training's bounded sample is grouped);
     the model, at most most_words weights, is broadcast. A null or empty text has no features and scores the base rate; a null doc_id stays;
     repeated rows repeat; an empty table gives no rows; without labels of both kinds nothing is

@@ -1,4 +1,7 @@
 """Classifiers: parts against brute force, held-out accuracy, awkward rows."""
+import math
+import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -7,10 +10,10 @@ import pytest
 from brightwell.llm import ordinal_toxicity, quality_rules
 from brightwell.llm.queries import op1_quality, op5_toxicity
 from brightwell.sources import read_table
-from tests.llm.cases import AWKWARD, frame
+from tests.llm.cases import AWKWARD, by_key, documents, frame
 
 ROOT = Path(__file__).resolve().parents[2]
-MIDDLE = "/root/testdata/sf0.1"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
 def labels_of(spark, rows):
@@ -155,3 +158,107 @@ def test_held_out_rows_are_never_learned_from(spark):
         assert {r["doc_id"] for r in scored if r["held_out"]} == out
         found.append(sorted(map(tuple, scored)))
     assert found[0] == found[1]
+
+
+ODD = [(900, "ÀÉ Ünï 123!?  €§\u00a0x\n\n\tTab\x0b\x0c \x1c"), (901, "\n"), (902, "\U0001f600" * 9), (903, "!" * 50 + "\r\n" + "A" * 20)]
+
+
+def statistics_by_hand(text):
+    import regex
+
+    text = text or ""
+    found = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    listed = text.split("\n")
+    n, words, lines = max(len(text), 1), max(len(found), 1), len(listed)
+
+    def share(pattern):
+        return len(regex.findall(pattern, text)) / n
+
+    return {
+        "log_chars": math.log1p(len(text)), "word_length": len(text) / words, "words_a_line": words / lines,
+        "distinct_words": len(set(found)) / words, "distinct_lines": len(set(listed)) / lines, "letters": share(r"\p{L}"),
+        "capitals": share(r"\p{Lu}"), "digits": share("[0-9]"), "stops": share("[.!?;:,]"), "shouts": share("[!?]"),
+        "symbols": share(r"""[^\p{L}\p{N}\x20\x09-\x0D.,;:!?'"()-]"""), "spaces": share(r"[\x20\x09-\x0D]"),
+    }
+
+
+def test_quality_scores_by_hand(spark):
+    """Statistics, rules and weights of whole texts, recomputed one text at a time."""
+    rows = AWKWARD + ODD + [(1000 + i, t) for i, t in documents(SMALL)]
+    docs = frame(spark, rows)
+    by_hand = [(i, statistics_by_hand(t)) for i, t in rows]
+    found = quality_rules.with_statistics(docs).collect()
+    assert len(found) == len(rows)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    got = sorted(((r["doc_id"], *(r[n] for n in quality_rules.NAMES)) for r in found), key=key)
+    want = sorted(((i, *(s[n] for n in quality_rules.NAMES)) for i, s in by_hand), key=key)
+    assert [r[0] for r in got] == [r[0] for r in want]
+    np.testing.assert_allclose([r[1:] for r in got], [r[1:] for r in want], rtol=1e-12, atol=0)
+    labels = read_table(spark, SMALL, "labels").selectExpr("doc_id + 1000 doc_id", "quality", "toxic")
+    model = quality_rules.train(docs, labels)
+    assert model.rules
+    want = []
+    for i, s in by_hand:
+        margin = model.bias
+        for w, rule in zip(model.weights, model.rules):
+            if all((s[quality_rules.NAMES[j]] <= at) == low for j, low, at in rule.tests):
+                margin += w
+        want.append((i, round(1 / (1 + math.exp(-margin)), 9)))
+    scored = quality_rules.score_quality(docs, labels).collect()
+    assert by_key((r["doc_id"], round(r["score"], 9)) for r in scored) == by_key(want)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in scored)
+    kept = quality_rules.drop_low_quality(docs, labels).collect()
+    assert by_key((r["doc_id"], r["text"] or "") for r in kept) == by_key((i, t or "") for (i, t), (_, score) in zip(rows, want) if score >= 0.3)
+
+
+def features_by_hand(text):
+    words = [w for w in re.split(r"""[\s!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+""", text.lower()) if w]
+    counts = Counter(words + [f"^{w[:n]}" for w in words for n in (5, 7) if len(w) > n])
+    return set(counts) | {f"{f}+" for f in counts if counts[f] >= 3}
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Score and severity of whole texts from the model's weights and thresholds, one text at a time."""
+    rows = AWKWARD + ODD + [(1000 + i, t) for i, t in documents("/root/testdata/sf0.01")]
+    docs = frame(spark, rows)
+    labels = read_table(spark, "/root/testdata/sf0.01", "labels").selectExpr("doc_id + 1000 doc_id", "quality", "toxic")
+    model = ordinal_toxicity.train(docs, labels)
+    assert model.words and model.thresholds[0] < model.thresholds[1] and (model.weights >= 0).all()
+    want = []
+    for i, t in rows:
+        margin = sum(model.weights[n] for f, n in model.words.items() if f in features_by_hand(t or ""))
+        above = [1 / (1 + math.exp(cut - margin)) for cut in model.thresholds]
+        want.append((i, round(above[0], 9), round(sum(above), 9), int(above[0] >= 0.3)))
+    found = ordinal_toxicity.score_toxicity(docs, labels).collect()
+    assert by_key((r["doc_id"], round(r["score"], 9), round(r["severity"], 9), r["toxic"]) for r in found) == by_key(want)
+
+
+def test_severity_grades_come_from_other_texts():
+    """A toxic text's grade doesn't hang on its own label, and doubtful ones get the lower grade."""
+    rng = np.random.default_rng(3)
+    rows, toxic = [], []
+    for n in range(600):
+        noise = 10 + np.flatnonzero(rng.random(30) < 0.2)
+        kind = n % 3  # plainly toxic, in doubt (features that others have too), not toxic
+        rows.append(np.concatenate(([0, 1] if kind == 0 else [2] if kind == 1 or n % 2 else [], noise)).astype(np.int64))
+        toxic.append(int(kind < 2))
+    grades = ordinal_toxicity.severity_grades(rows, np.array(toxic), 40)
+    assert (grades[2::3] == 0).all() and set(grades) == {0, 1, 2}
+    assert (grades[0::3] == 2).mean() > 0.95 and (grades[1::3] == 1).mean() > 0.95
+    assert ordinal_toxicity.severity_grades([np.array([1])], np.array([1]), 3).tolist() == [2]
+
+
+def test_toxicity_never_learns_from_held_out_rows(spark):
+    import zlib
+
+    rows = [(i, f"{'vile awful' if i % 3 == 0 else 'mild pleasant'} word{i} " * (i % 4 + 1)) for i in range(240)]
+    out = {i for i in range(240) if zlib.crc32(str(i).encode()) % 5 == 0}
+    more = frame(spark, rows).selectExpr("*", "'x' label_id", "'x' toxic", "'x' word", "'x' `a.b`")
+    found = []
+    for turned in (False, True):
+        labels = labels_of(spark, [(i, 1, int((i % 3 == 0) != (turned and i in out))) for i in range(240)])
+        scored = ordinal_toxicity.score_toxicity(more, labels).collect()
+        assert {r["doc_id"] for r in scored if r["held_out"]} == out
+        assert all(r["toxic"] == int(r["doc_id"] % 3 == 0) for r in scored)
+        found.append(sorted(map(tuple, scored)))
+    assert found[0] == found[1]
