@@ -1,7 +1,8 @@
 """WARC archives of pages, and their capture index by external merge.
 
 Archives are written as text whose records end with the blank lines that WARC asks for, then read
-back by length. Each reading task sorts its captures by URL key and time: a run. Runs are cut by
+back by length. A capture's row in the index names its archive, and the record's offset and length
+there (of the archive as uncompressed, as Spark's text writer makes one gzip member a file). Each reading task sorts its captures by URL key and time: a run. Runs are cut by
 ranges of the key, and each range is merged from its pieces of runs by a loser tree, which gives
 capture histories in global order.
 """
@@ -23,7 +24,8 @@ from brightwell.llm.common import materialize, shared_dir
 CRLF, END = "\r\n", "\r\n\r\n"
 #: Pages carry no time of capture; page n counts as captured n (modulo 10^9) seconds after this one.
 FIRST_CAPTURE = "2024-01-01 00:00:00"
-CAPTURE = "urlkey string, capture_time string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean, run long, at long"
+CAPTURE = "urlkey string, capture_time string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean, archive string, record_offset long, record_length long, run long, at long"
+KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 RANGE_ROWS = 100_000
 
 
@@ -73,7 +75,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, most_recor
 
 
 def parse_records(archive: BinaryIO):
-    """(WARC headers, block, offset) of each record of an archive, by the records' own lengths, one record in memory at a time."""
+    """(WARC headers, block, offset, length) of each record of an archive, by the records' own lengths, one record in memory at a time.
+
+    The length takes in headers and block, and not the blank lines after the record."""
     at = 0
     while first := archive.readline():
         if not first.startswith(b"WARC/"):
@@ -86,8 +90,9 @@ def parse_records(archive: BinaryIO):
         block = archive.read(int(headers["Content-Length"]))
         if archive.read(4) != b"\r\n\r\n":
             raise ValueError(f"a record at byte {at} doesn't end where its length says")
-        yield headers, block, at
-        at += size + 2 + len(block) + 4
+        length = size + 2 + len(block)
+        yield headers, block, at, length
+        at += length + 4
 
 
 def url_key(url: str) -> str:
@@ -113,19 +118,18 @@ def _captures(batches):
     run = TaskContext.get().partitionId() << 24
     for b in batches:
         rows = []
-        for content in b.column("content").to_pylist():
-            for headers, block, _ in parse_records(gzip.open(io.BytesIO(content))):
+        for archive, content in zip(b.column("archive").to_pylist(), b.column("content").to_pylist()):
+            for headers, block, offset, length in parse_records(gzip.open(io.BytesIO(content))):
                 http, _, body = block.partition(b"\r\n\r\n")
                 kind, said = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
                 size = int(next(x.split(b": ", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length: ")))
                 digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if kind == "response" else said
                 url = headers["WARC-Target-URI"]
-                rows.append((url_key(url), headers["WARC-Date"], _page(headers["WARC-Record-ID"]), url, kind, _page(headers.get("WARC-Refers-To")), size if kind == "revisit" else len(body), digest, digest == said and (kind == "revisit" or size == len(body))))
+                rows.append((url_key(url), headers["WARC-Date"], _page(headers["WARC-Record-ID"]), url, kind, _page(headers.get("WARC-Refers-To")), size if kind == "revisit" else len(body), digest, digest == said and (kind == "revisit" or size == len(body)), archive, offset, length))
         rows.sort(key=_order)
-        names = [c.split()[0] for c in CAPTURE.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+        names, kinds = zip(*(c.split() for c in CAPTURE.split(", ")))
         columns = [*(list(c) for c in zip(*rows)), [run] * len(rows), list(range(len(rows)))] if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, KINDS[t]) for c, t in zip(columns, kinds)], list(names))
         run += 1
 
 
@@ -183,17 +187,17 @@ def _merge_runs(batches):
     table = pa.Table.from_batches(batches)
     runs: dict[int, list[tuple]] = {}
     for row in zip(*(table.column(c).to_pylist() for c in table.column_names)):
-        runs.setdefault(row[9], []).append(row)
+        runs.setdefault(row[-2], []).append(row)
     for rows in runs.values():  # a run comes in order, unless its pieces were fetched in another one
-        if any(a[10] > b[10] for a, b in zip(rows, rows[1:])):
-            rows.sort(key=lambda r: r[10])
+        if any(a[-1] > b[-1] for a, b in zip(rows, rows[1:])):
+            rows.sort(key=lambda r: r[-1])
     merged = list(LoserTree(runs.values(), _order))
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*merged), table.schema.types)], table.schema.names)
 
 
 def capture_index(spark, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The captures of the archives under path, in order of URL key and time over all partitions."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    """The captures of the archives under path, in order of URL key and time over all partitions; archive is a file's name there."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     runs = materialize(files.mapInArrow(_captures, CAPTURE), "runs")
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
     return runs.repartitionByRange(ranges, "urlkey", "capture_time", F.col("page_id").asc_nulls_last()).mapInArrow(_merge_runs, CAPTURE)
@@ -203,7 +207,7 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = N
     """Writes the pages as archives, reads them back and returns the index: a row per page.
 
     Columns page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, capture_time,
-    url, intact (digest and length agree with what was read). A null html is an empty payload, a
+    url, intact (digest and length agree with what was read), archive, record_offset, record_length. A null html is an empty payload, a
     null url an empty one; line ends in a URL are percent-encoded. A null page_id stays null and
     refers to the smallest id of its payload, if any; rows that repeat a page are records each. An
     empty table gives no rows; other columns are ignored. The payload's hot digests are reduced by
@@ -211,4 +215,4 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = N
     """
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least_bytes)
-    return capture_index(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "capture_time", "url", "intact")
+    return capture_index(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "capture_time", "url", "intact", "archive", "record_offset", "record_length")

@@ -50,6 +50,26 @@ def test_warc_round_trip(spark, least):
     assert order == sorted(order)
 
 
+def test_index_finds_records(spark, tmp_path):
+    """Archive, offset and length of each row of the index lead to its record."""
+    import gzip
+
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
+    found = warc_index.warc_round_trip(df, path=f"file://{tmp_path}/archives").collect()
+    taken = []
+    for r in found:
+        whole = gzip.decompress((tmp_path / "archives" / r["archive"]).read_bytes())
+        record = whole[r["record_offset"] : r["record_offset"] + r["record_length"]]
+        assert whole[r["record_offset"] + r["record_length"] :].startswith(b"\r\n\r\n")
+        head, _, block = record.partition(b"\r\n\r\n")
+        lines = head.decode().split("\r\n")
+        page = "none" if r["page_id"] is None else r["page_id"]
+        assert lines[0] == "WARC/1.1" and f"WARC-Record-ID: <urn:page:{page}>" in lines and f"WARC-Type: {r['record_type']}" in lines
+        assert f"Content-Length: {len(block)}" in lines and f"WARC-Payload-Digest: sha1:{r['payload_digest']}" in lines
+        taken.append((r["archive"], r["record_offset"]))
+    assert len(set(taken)) == len(PAGES)
+
+
 def test_warc_query(spark):
     pages = [tuple(r) for r in read_table(spark, SMALL, "pages").select("page_id", "url", "html").collect()]
     assert by_key(op2_warc(spark, SMALL).collect()) == by_key(expected_records(pages))
