@@ -1,10 +1,11 @@
 """Exact dedup by a Golomb-coded fingerprint exchange.
 
-Each task sorts the 48-bit fingerprints of its texts and sends them, as Golomb-Rice coded gaps, to
-the owners of ranges of fingerprints. Owners answer with a bitmap for each task: which of its
-fingerprints occurs again. Only documents so marked (suspects) are grouped by the bytes of their
-texts; the rest are unique. Spark broadcasts the suspects' keys only where their written size is
-under spark.sql.autoBroadcastJoinThreshold; beyond it texts are shuffled to meet them.
+Rows are written once, each at its home: the task that wrote it, a bucket key of that table. Each
+task sorts the 48-bit fingerprints of its texts and sends them, as Golomb-Rice coded gaps, to the
+owners of ranges of fingerprints. Owners answer with a bitmap for each message: which of its
+fingerprints occurs again. The answers make one bitmap a home, of its rows that are suspects; it meets
+the rows in their bucket, so only suspects' texts are shuffled, to be grouped by their bytes, and the
+rest are unique.
 """
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import materialize, text_of
+from brightwell.llm.common import bucketed, columns_of, materialize, text_of
 
 BITS = 48
 SENT = "block long, owner long, n long, k int, first binary, rest binary, again binary, counts binary, keys binary"
@@ -104,26 +105,58 @@ def _suspects(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["key"])
 
 
+#: Bits of a row's place within its home, as monotonically_increasing_id lays them out.
+PLACE_BITS = 33
+
+
+def at_home(rows: DataFrame) -> DataFrame:
+    """rows, place (unique, and stable from now on) and home (the task that wrote the row), as a table in buckets of home.
+
+    What is sent to a home meets its rows without a shuffle of these. Buckets are as many as
+    spark.sql.shuffle.partitions; a task writes one file.
+    """
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    placed = placed.withColumn("home", F.shiftright("place", PLACE_BITS))
+    return bucketed(placed, "homes", "home", int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _bitmap(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A home's bitmap in words of 64 bits, set at the places given."""
+    at = pdf["place"].to_numpy() & ((1 << PLACE_BITS) - 1)
+    bits = np.zeros(-(-(int(at.max()) + 1) // 64) * 64, np.uint8)
+    bits[at] = 1
+    return pd.DataFrame({"to_home": [pdf["home"].iloc[0]], "words": [np.packbits(bits, bitorder="little").view("<i8")]})
+
+
+def join_marked(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """The rows of an at_home table at these places (left_semi), or all others (left_anti): places are sent home as one bitmap each."""
+    homes = places.select("place", F.shiftright("place", PLACE_BITS).alias("home")).groupBy("home").applyInPandas(_bitmap, "to_home long, words array<long>")
+    marks = materialize(homes, "bitmaps")
+    at = rows["place"].bitwiseAND((1 << PLACE_BITS) - 1)
+    marked = F.bit_get(F.get(marks["words"], F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+    return rows.join(marks.hint("shuffle_hash"), (rows["home"] == marks["to_home"]) & marked, how)
+
+
 def suspects(texts: DataFrame, per_owner: int = 1 << 18) -> DataFrame:
-    """(key) of each row whose text's fingerprint occurs more than once; key is a hash of id and text.
+    """(place) of each row of an at_home table whose text's fingerprint occurs more than once.
 
     The count of owners follows the row count, so an owner reads about `per_owner` fingerprints.
     """
     owners = max(1, -(-texts.count() // per_owner))
-    prints = texts.select(F.xxhash64("doc_id", "text").alias("key"), F.shiftrightunsigned(F.xxhash64("text"), 64 - BITS).alias("print"))
+    prints = texts.select(F.col("place").alias("key"), F.shiftrightunsigned(F.xxhash64("text"), 64 - BITS).alias("print"))
     sent = materialize(prints.mapInArrow(send(owners), SENT), "prints")
     marks = sent.select("block", "owner", "n", "k", "first", "rest", "again").groupBy("owner").applyInPandas(answer(owners), "block long, owner long, marks binary")
     back = sent.select("block", "owner", "n", "counts", "keys").join(marks, ["block", "owner"])
-    return materialize(back.mapInArrow(_suspects, "key long").distinct(), "suspects")
+    return back.mapInArrow(_suspects, "place long")
 
 
 def copy_groups(texts: DataFrame) -> DataFrame:
-    """(text_sha256, keep_id, group_size) of each text that occurs more than once, compared byte by byte.
+    """(text_sha256, keep_id, group_size) of each text of an at_home table that occurs more than once, compared byte by byte.
 
     Grouping is by the text itself after a partial aggregate in each task, so a hot group sends one
     row a task. The SHA-256 is a verified group's handle.
     """
-    marked = texts.withColumn("key", F.xxhash64("doc_id", "text")).join(suspects(texts), "key", "left_semi")
+    marked = join_marked(texts, suspects(texts), "left_semi")
     groups = marked.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     return groups.select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
 
@@ -136,7 +169,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     carries the same decision and all count in group_size. An empty table gives no rows; other
     columns are ignored. The join back is by SHA-256, its hot keys split by AQE.
     """
-    texts = text_of(docs, id_col, text_col)
+    texts = at_home(text_of(docs, id_col, text_col))
     all_docs = texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
     groups = materialize(copy_groups(texts), "groups")
     return all_docs.join(groups.hint("merge"), "text_sha256", "left").select(
@@ -152,11 +185,11 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs (all its columns) without the rows that exact_dedup drops.
 
     Rows that repeat the kept row's id and text stay with it. A null text equals an empty one; of a
-    group whose ids are all null every row stays; an empty table gives no rows.
+    group whose ids are all null every row stays; an empty table gives no rows. Rows stay where they
+    were written: the places of those that go are sent to them.
     """
-    texts = text_of(docs, "doc_id", "text")
+    rows = at_home(docs.select(F.struct(*columns_of(docs)).alias("doc")))
+    texts = rows.select("home", "place", F.col("doc.doc_id").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text"))
     groups = materialize(copy_groups(texts), "groups")
-    lost = texts.select("doc_id", F.sha2("text", 256).alias("text_sha256")).join(groups.hint("merge"), "text_sha256").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha"))
-    same = docs["doc_id"].eqNullSafe(lost["lost_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == lost["lost_sha"])
-    return docs.join(lost, same, "left_anti")
+    lost = texts.select("place", "doc_id", F.sha2("text", 256).alias("text_sha256")).join(groups.hint("merge"), "text_sha256").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return join_marked(rows, lost, "left_anti").select("doc.*")

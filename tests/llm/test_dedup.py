@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brightwell.llm import common, exact_dedup, minhash_bands, simhash_ball, substring_cms
 from tests.llm.cases import AWKWARD, alike_kept, word_jaccard, by_key, documents, exact, frame, near, print_of, sha, substrings
@@ -35,11 +36,36 @@ def test_exact_dedup(spark, rows):
 
 def test_exact_dedup_with_small_blocks_and_many_owners(spark, rows, monkeypatch):
     monkeypatch.setattr(exact_dedup, "send", lambda owners, f=exact_dedup.send: f(owners, 7))
-    texts = common.text_of(frame(spark, rows).repartition(3), "doc_id", "text")
-    keys = {r["key"] for r in exact_dedup.suspects(texts, per_owner=40).collect()}
-    marked = texts.selectExpr("doc_id", "xxhash64(doc_id, text) key").collect()
+    texts = exact_dedup.at_home(common.text_of(frame(spark, rows).repartition(3), "doc_id", "text"))
+    places = {r["place"] for r in exact_dedup.suspects(texts, per_owner=40).collect()}
+    marked = texts.select("doc_id", "place").collect()
     copies = {i for i, _, n, _, _ in exact(rows) if n > 1}
-    assert {r["doc_id"] for r in marked if r["key"] in keys} == copies
+    assert {r["doc_id"] for r in marked if r["place"] in places} == copies
+
+
+def test_rows_meet_their_marks_without_a_shuffle(spark):
+    """Marked rows and the others, over several homes; only marks are shuffled."""
+    rows = exact_dedup.at_home(spark.range(0, 1000, 1, 7).selectExpr("id doc_id", "cast(id as string) text"))
+    for every in (3, 64, 2000):
+        places = rows.where(F.col("doc_id") % every == 1).select("place")
+        want = {i for i in range(1000) if i % every == 1}
+        found = exact_dedup.join_marked(rows, places, "left_semi")
+        assert sorted(r["doc_id"] for r in found.collect()) == sorted(want)
+        others = exact_dedup.join_marked(rows, places, "left_anti")
+        assert sorted(r["doc_id"] for r in others.collect()) == sorted(set(range(1000)) - want)
+        for df in (found, others):
+            plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "ShuffledHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert exact_dedup.join_marked(rows, rows.where("false").select("place"), "left_semi").count() == 0
+    assert exact_dedup.join_marked(rows, rows.where("false").select("place"), "left_anti").count() == 1000
+
+
+def test_drop_exact_copies_beside_clashing_columns(spark, rows):
+    docs = frame(spark, rows).selectExpr("*", "'x' place", "'x' home", "'x' words", "'x' doc", "'x' to_home", "'x' text_sha256", "'x' keep_id", "'x' `a.b`", "'x' `c d`", "null none").repartition(3)
+    found = exact_dedup.drop_exact_copies(docs)
+    assert found.columns == docs.columns
+    assert by_key([(r["doc_id"], r["text"]) for r in found.collect()]) == by_key([row for row, e in zip(rows, exact(rows)) if e[3]])
+    assert by_key(exact_dedup.exact_dedup(docs).collect()) == by_key(exact(rows))
 
 
 def test_drop_exact_copies_keeps_columns(spark, rows):
