@@ -241,3 +241,15 @@ def test_pipeline_stages_against_brute_force(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, SMALL).count() == packed.count()
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, []])
+def test_pipeline_of_awkward_and_empty_tables(spark, tmp_path, rows):
+    """Nulls, empty and long texts, repeats, clashing columns, no labels: each distinct text is packed once, whole."""
+    sf_dir = f"file://{tmp_path}"
+    frame(spark, rows).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    kept = alike_kept(list({(i, t): None for (i, t), e in zip(rows, exact(rows)) if e[3]}))
+    assert {r["doc_id"] for r in packed} == {i for i, _ in kept}
+    assert by_key((r["doc_id"],) for r in packed if r["piece"] == 0) == by_key((i,) for i, _ in kept)
