@@ -1,27 +1,28 @@
 """WARC archives of pages, and their capture index by external merge.
 
-Archives are written as text whose records end with the blank lines that WARC asks for, then read
-back by length. A capture's row in the index names its archive, and the record's offset and length
-there (of the archive as uncompressed, as Spark's text writer makes one gzip member a file). Each reading task sorts its captures by URL key and time: a run. Runs are cut by
-ranges of the key, and each range is merged from its pieces of runs by a loser tree, which gives
-capture histories in global order.
+Each record is a gzip member of its archive, so a capture's row in the index (archive, offset and
+length of the member) is enough to read that record alone. Each reading task sorts its captures by
+URL key and time: a run. Runs are cut by ranges of the key, and each range is merged from its pieces
+of runs by a loser tree, which gives capture histories in global order.
 """
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import uuid
-from typing import BinaryIO
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import materialize, shared_dir
+from brightwell.llm.common import BATCH_BYTES, binary_array, materialize, shared_dir
 
 CRLF, END = "\r\n", "\r\n\r\n"
+#: zlib's name for the gzip format.
+GZIP = 31
+#: Compressed bytes after which an archive is closed; a task holds one archive in memory.
+ARCHIVE_BYTES = 16 << 20
 #: Pages carry no time of capture; page n counts as captured n (modulo 10^9) seconds after this one.
 FIRST_CAPTURE = "2024-01-01 00:00:00"
 CAPTURE = "urlkey string, capture_time string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean, archive string, record_offset long, record_length long, run long, at long"
@@ -47,8 +48,8 @@ def classify(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.withColumn("refers_to", F.when(~small & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
 
 
-def _record(least_bytes: int) -> Column:
-    """A record without the blank lines after it: WARC headers, then an HTTP response, which for a revisit has no body."""
+def _record() -> Column:
+    """A record with the blank lines after it: WARC headers, then an HTTP response, which for a revisit has no body."""
 
     def urn(c: str) -> Column:
         return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
@@ -64,35 +65,69 @@ def _record(least_bytes: int) -> Column:
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit(f"{CRLF}WARC-Record-ID: "), urn("page_id"), F.lit(f"{CRLF}WARC-Target-URI: "), url, F.lit(f"{CRLF}WARC-Date: "), time,
         F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit(CRLF), F.when(revisit, refers).otherwise(F.lit("")),
-        F.lit(f"Content-Type: application/http;msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block,
+        F.lit(f"Content-Type: application/http;msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block, F.lit(END),
     )
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, most_records: int = 5000) -> None:
-    """WARC 1.1 archives of the pages under path, each compressed as a whole, of a few thousand records at most."""
-    rows = classify(pages, least_bytes).select(_record(least_bytes).alias("value"))
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", most_records).option("compression", "gzip").text(path)
+def _archives(archive_bytes: int):
+    """Records to archives: a gzip member each, until an archive has archive_bytes."""
 
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for record in b.column("record"):
+                held.append(zlib.compress(record.as_py(), wbits=GZIP))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([binary_array([b"".join(held)])], ["archive"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([binary_array([b"".join(held)])], ["archive"])
 
-def parse_records(archive: BinaryIO):
-    """(WARC headers, block, offset, length) of each record of an archive, by the records' own lengths, one record in memory at a time.
+    return run
 
-    The length takes in headers and block, and not the blank lines after the record."""
-    at = 0
-    while first := archive.readline():
-        if not first.startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        size, headers = len(first), {}
-        while (line := archive.readline()) not in (b"\r\n", b""):
-            size += len(line)
-            name, _, value = line.decode("utf-8", "replace").removesuffix(CRLF).partition(":")
-            headers[name] = value.removeprefix(" ")
-        block = archive.read(int(headers["Content-Length"]))
-        if archive.read(4) != b"\r\n\r\n":
-            raise ValueError(f"a record at byte {at} doesn't end where its length says")
-        length = size + 2 + len(block)
-        yield headers, block, at, length
-        at += length + 4
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """WARC 1.1 archives of the pages under path, one gzip member a record; an archive has archive_bytes and its last record at most.
+
+    Spark's text writer makes a file of each archive. It ends what it writes with a separator, which
+    is an empty gzip member here.
+    """
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    records = classify(pages, least_bytes).select(_record().cast("binary").alias("record"))
+    archives = records.mapInArrow(_archives(archive_bytes), "archive binary").select(F.col("archive").cast("string").alias("value"))
+    nothing = zlib.compress(b"", wbits=GZIP).decode("latin-1")
+    archives.write.option("encoding", "ISO-8859-1").option("lineSep", nothing).option("maxRecordsPerFile", 1).text(path)
+
+
+def members(archive: bytes, step: int = 1 << 16):
+    """(offset, length, content) of each gzip member of an archive, one in memory at a time."""
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        member, parts, end = zlib.decompressobj(GZIP), [], at
+        while not member.eof:
+            if end == len(view):
+                raise ValueError(f"the member at byte {at} is cut short")
+            fed = view[end : end + step]
+            parts.append(member.decompress(fed))
+            end += len(fed)
+        end -= len(member.unused_data)
+        yield at, end - at, b"".join(parts)
+        at = end
+
+
+def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """The WARC headers and the block of a record, which must end where its length says."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    first, *lines = head.split(b"\r\n")
+    if not first.startswith(b"WARC/"):
+        raise ValueError(f"not a WARC record: {first[:40]!r}")
+    parts = [line.decode("utf-8", "replace").partition(":") for line in lines]
+    headers = {name: value.removeprefix(" ") for name, _, value in parts}
+    size = int(headers["Content-Length"])
+    if rest[size:] != b"\r\n\r\n":
+        raise ValueError(f"{headers.get('WARC-Record-ID')} doesn't end where its length says")
+    return headers, rest[:size]
 
 
 def url_key(url: str) -> str:
@@ -119,7 +154,10 @@ def _captures(batches):
     for b in batches:
         rows = []
         for archive, content in zip(b.column("archive").to_pylist(), b.column("content").to_pylist()):
-            for headers, block, offset, length in parse_records(gzip.open(io.BytesIO(content))):
+            for offset, length, record in members(content):
+                if not record:  # what ends an archive
+                    continue
+                headers, block = parse_record(record)
                 http, _, body = block.partition(b"\r\n\r\n")
                 kind, said = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
                 size = int(next(x.split(b": ", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length: ")))
@@ -203,16 +241,16 @@ def capture_index(spark, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     return runs.repartitionByRange(ranges, "urlkey", "capture_time", F.col("page_id").asc_nulls_last()).mapInArrow(_merge_runs, CAPTURE)
 
 
-def warc_round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = None) -> DataFrame:
+def warc_round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the pages as archives, reads them back and returns the index: a row per page.
 
     Columns page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, capture_time,
-    url, intact (digest and length agree with what was read), archive, record_offset, record_length. A null html is an empty payload, a
-    null url an empty one; line ends in a URL are percent-encoded. A null page_id stays null and
+    url, intact (digest and length agree with what was read), archive, record_offset, record_length
+    (of the record's gzip member). A null html is an empty payload, a null url an empty one; line ends in a URL are percent-encoded. A null page_id stays null and
     refers to the smallest id of its payload, if any; rows that repeat a page are records each. An
     empty table gives no rows; other columns are ignored. The payload's hot digests are reduced by
     a partial aggregate and their join is split by AQE; a hot URL is cut by time and id.
     """
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path, least_bytes)
+    write_archives(pages, path, least_bytes, archive_bytes)
     return capture_index(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "capture_time", "url", "intact", "archive", "record_offset", "record_length")

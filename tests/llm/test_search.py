@@ -1,5 +1,6 @@
 """Archives, nearest neighbours and secrets against brute force; the pipeline end to end."""
 import base64
+import gzip
 import hashlib
 import heapq
 import math
@@ -50,24 +51,44 @@ def test_warc_round_trip(spark, least):
     assert order == sorted(order)
 
 
-def test_index_finds_records(spark, tmp_path):
-    """Archive, offset and length of each row of the index lead to its record."""
-    import gzip
-
+@pytest.mark.parametrize("archive_bytes", [1, 400, warc_index.ARCHIVE_BYTES])
+def test_index_finds_records(spark, tmp_path, archive_bytes):
+    """Archive, offset and length of each row of the index lead to its record, which is read alone; archives are whole and bounded."""
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
-    found = warc_index.warc_round_trip(df, path=f"file://{tmp_path}/archives").collect()
-    taken = []
+    found = warc_index.warc_round_trip(df, path=f"file://{tmp_path}/archives", archive_bytes=archive_bytes).collect()
+    taken, lengths = [], {}
     for r in found:
-        whole = gzip.decompress((tmp_path / "archives" / r["archive"]).read_bytes())
-        record = whole[r["record_offset"] : r["record_offset"] + r["record_length"]]
-        assert whole[r["record_offset"] + r["record_length"] :].startswith(b"\r\n\r\n")
-        head, _, block = record.partition(b"\r\n\r\n")
+        archive = (tmp_path / "archives" / r["archive"]).read_bytes()
+        assert gzip.decompress(archive).count(b"WARC-Record-ID: ") == sum(x["archive"] == r["archive"] for x in found)
+        lengths.setdefault(r["archive"], []).append(r["record_length"])
+        head, _, block = gzip.decompress(archive[r["record_offset"] : r["record_offset"] + r["record_length"]]).partition(b"\r\n\r\n")
+        assert block.endswith(b"\r\n\r\n")
+        block = block[:-4]
         lines = head.decode().split("\r\n")
         page = "none" if r["page_id"] is None else r["page_id"]
         assert lines[0] == "WARC/1.1" and f"WARC-Record-ID: <urn:page:{page}>" in lines and f"WARC-Type: {r['record_type']}" in lines
         assert f"Content-Length: {len(block)}" in lines and f"WARC-Payload-Digest: sha1:{r['payload_digest']}" in lines
         taken.append((r["archive"], r["record_offset"]))
     assert len(set(taken)) == len(PAGES)
+    assert all(sum(x) - max(x) < archive_bytes for x in lengths.values())
+    assert archive_bytes > 1 or len(lengths) == len(PAGES)
+
+
+def test_members_and_records():
+    """Members of all sizes in any steps; archives and records that are cut short are errors."""
+    contents = [b"", b"a", bytes(range(256)) * 300, np.random.default_rng(4).bytes(70_000), b""]
+    archive = b"".join(map(gzip.compress, contents))
+    for step in (1000, 1 << 16):
+        found = list(warc_index.members(archive, step))
+        assert [c for _, _, c in found] == contents
+        assert [gzip.decompress(archive[at : at + n]) for at, n, _ in found] == contents
+    assert list(warc_index.members(b"")) == []
+    with pytest.raises(ValueError):
+        list(warc_index.members(archive[:-3]))
+    assert warc_index.parse_record(b"WARC/1.1\r\nA: b:c\r\nContent-Length: 2\r\n\r\nxy\r\n\r\n") == ({"A": "b:c", "Content-Length": "2"}, b"xy")
+    for bad in (b"WARC/1.1\r\nContent-Length: 3\r\n\r\nxy\r\n\r\n", b"HTTP/1.1\r\nContent-Length: 2\r\n\r\nxy\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc_index.parse_record(bad)
 
 
 def test_warc_query(spark):
