@@ -137,3 +137,29 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def squeeze(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(data, 1)
+
+
+def expand(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(data)
+
+
+def pack_array(values: np.ndarray) -> bytes:
+    """An array, compressed byte plane by byte plane."""
+    return squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def unpack_array(code: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(code), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows (tuples in the schema's order) as one batch."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)

@@ -65,4 +65,48 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-SQL = {"op2_warc": OP2, "op6_exact_dedup": OP6, "op7_nearest": OP7, "op8_secrets": OP8, "op10_substrings": OP10}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH t AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+     s AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM t),
+     q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+     p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM t) SEMI JOIN q USING (term) GROUP BY ALL),
+     f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term, n_docs),
+     i AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS part FROM p JOIN f USING (term), s),
+     c AS (SELECT item_id, doc_id, sum(qtf * part)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY ALL HAVING sum(qtf * part) > 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM c)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def _crc32(text: str) -> str:
+    """Byte by byte, with table(t), the list of the 256 bytes' own remainders."""
+    data = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::BIGINT, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])))"
+
+
+_STEP = "xor(c >> 1, 3988292384 * (c % 2))"
+_REMAINDER = "b"
+for _ in range(8):
+    _REMAINDER = _STEP.replace("c", _REMAINDER)
+
+OP12 = f"""
+WITH RECURSIVE e AS (SELECT list_transform(range(256), lambda b: {_REMAINDER}) AS t),
+     u AS (SELECT doc_id, translate(w, {_LOWER}) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS w FROM documents)),
+     g AS (SELECT doc_id, w, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || w AS k FROM u WHERE length(w) >= 6 GROUP BY ALL),
+     h AS (SELECT w, n, {_crc32('k')} AS h FROM g, e),
+     v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+     w AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+     o AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+     d AS (SELECT DISTINCT w.word AS a, o.word AS b FROM w JOIN o ON w.word = o.less),
+     m AS (SELECT a, b FROM d UNION ALL SELECT b, a FROM d
+           UNION ALL SELECT x.word, y.word FROM o x JOIN o y ON x.less = y.less AND x.i = y.i AND x.word <> y.word),
+     z AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS best, max(w.n) AS best_n FROM m JOIN w ON m.b = w.word GROUP BY 1),
+     f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM w LEFT JOIN z USING (word)),
+     s AS (SELECT word, word AS root, form AS further FROM f UNION ALL SELECT s.word, s.further, f.form FROM s JOIN f ON s.further = f.word)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN s ON f.word = s.word AND s.further IS NULL
+"""
+
+SQL = {"op11_search": OP11, "op12_variants": OP12, "op2_warc": OP2, "op6_exact_dedup": OP6, "op7_nearest": OP7, "op8_secrets": OP8, "op10_substrings": OP10}

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightwell.llm import block_ann, bpe, bpe_table, exact_dedup, ordinal_toxicity, quality_rules, residual_packing, secret_index, simhash_ball, substring_cms, warc_index
+from brightwell.llm import block_ann, bpe, bpe_table, cutting_stock, exact_dedup, lexical_nra, ordinal_toxicity, quality_rules, residual_packing, secret_index, simhash_ball, spelling_fst, substring_cms, warc_index
 from brightwell.sources import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,4 +62,16 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_cms.substring_dedup(read_table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_simhash, op4_bpe, op5_toxicity, op6_exact_dedup, op7_nearest, op8_secrets, op9_packing, op10_substrings)}
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_nra.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_fst.group_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_cutting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting_stock.pack(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_simhash, op4_bpe, op5_toxicity, op6_exact_dedup, op7_nearest, op8_secrets, op9_packing, op10_substrings, op11_search, op12_variants, op13_cutting)}
