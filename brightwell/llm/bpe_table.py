@@ -20,8 +20,8 @@ from brightwell.llm.common import arrow_schema, bucketed, ragged, slices, text_o
 BLOCK_BYTES = 6 << 20
 #: So many of a block's most frequent words have the smallest numbers.
 FREQUENT = 4096
-#: Words that a shard keeps the ids of; with more distinct words than that it starts anew, and encodes again what it meets again.
-HELD_WORDS = 1 << 18
+#: Bytes of text for each shard of the word table, which holds the distinct words of its shard: some 2 million at the very most, where no word repeats.
+SHARD_BYTES = 16 << 20
 #: Words in a row of a block's lists.
 ROW_WORDS = 1 << 16
 #: A block's lists of numbers (shard -1) and its distinct words for each shard (sizes are those of words), in one table.
@@ -112,7 +112,7 @@ def _blocks(shards: int, most_bytes: int):
     return run
 
 
-def _encode_words(vocab, kind: str, most_words: int):
+def _encode_words(vocab, kind: str):
     """A partition of the word table, its rows in order of shard: each distinct word is encoded once, on first sight; every block gets the ids of its words, in its order."""
 
     def run(batches):
@@ -120,7 +120,7 @@ def _encode_words(vocab, kind: str, most_words: int):
         for b in batches:
             for block, shard, sizes, words in zip(*(b.column(c).to_pylist() for c in ("block", "shard", "sizes", "data"))):
                 encoder = encoder or tokenizer(vocab.value)
-                if shard != now or len(table) > most_words:
+                if shard != now:
                     table, now = {}, shard
                 ends, text = np.cumsum(_unpack(sizes), dtype=np.int64).tolist(), _expand(words)
                 asked = [text[i:j] for i, j in zip([0, *ends], ends)]
@@ -164,7 +164,7 @@ def _join_by_position(kind: str):
     return run
 
 
-def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, most_words: int = HELD_WORDS) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers).
 
     The ids are those of the tokenizers library for the whole text, special tokens' strings in the
@@ -175,16 +175,18 @@ def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: st
     used, so both are of the same reading. That table is bucketed by block, so lists are read where
     they are joined and neither they nor texts are shuffled: only compressed distinct words and
     their ids. A block holds about `block_bytes` of text (a longer text stands alone), which bounds
-    its task's memory. There are as many shards as spark.sql.shuffle.partitions; one streams over
-    its blocks' words and holds at most about `most_words` of them.
+    its task's memory. Shards and buckets follow the bytes of text; a shard streams over the
+    blocks' words and encodes each distinct one once. Messages are at most blocks x shards, and at
+    most the blocks' distinct words.
     """
     texts, spark = text_of(docs, id_col, text_col), docs.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
     kind = "<u2" if len(pieces(vocab)) <= 1 << 16 else "<u4"
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = bucketed(texts.mapInArrow(_blocks(shards, block_bytes), SENT), "words", "block", shards)
+    size, partitions = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards, buckets = max(partitions, 1 + size // shard_bytes), max(partitions, 1 + size // (4 * block_bytes))
+    sent = bucketed(texts.mapInArrow(_blocks(shards, block_bytes), SENT), "words", "block", buckets)
     asked = sent.where("shard >= 0").select("block", "shard", "sizes", "data").repartition("shard").sortWithinPartitions("shard")
-    answers = asked.mapInArrow(_encode_words(shared, kind, most_words), "block long, shard int, sizes binary, ids binary")
+    answers = asked.mapInArrow(_encode_words(shared, kind), "block long, shard int, sizes binary, ids binary")
     lists = sent.where("shard < 0").drop("shard")
     return lists.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_by_position(kind), "doc_id long, n_tokens long, ids binary")
 

@@ -46,12 +46,12 @@ def fast():
     return tiktoken.Encoding(**bpe.ranked(vocabulary()))
 
 
-@pytest.mark.parametrize(("block_bytes", "most_words"), [(1, 10), (3000, 50), (16 << 20, 1 << 18)])
-def test_encode_and_decode(spark, library, monkeypatch, block_bytes, most_words):
+@pytest.mark.parametrize(("block_bytes", "shard_bytes"), [(1, 20_000), (3000, 2000), (16 << 20, 16 << 20)])
+def test_encode_and_decode(spark, library, monkeypatch, block_bytes, shard_bytes):
     monkeypatch.setattr(bpe_table, "ROW_WORDS", 20)
     rows = AWKWARD + [(100 + i, t) for i, t in documents(SMALL)]
     vocab = vocabulary()
-    encoded = bpe_table.bpe_encode(frame(spark, rows).repartition(3), vocab, block_bytes=block_bytes, most_words=most_words)
+    encoded = bpe_table.bpe_encode(frame(spark, rows).repartition(3), vocab, block_bytes=block_bytes, shard_bytes=shard_bytes)
     found = bpe_table.bpe_decode(encoded, vocab)
     encode, decode = library
     expected = [(i, len(ids := encode(t)), little(ids), decode(ids)) for i, t in rows]
