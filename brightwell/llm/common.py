@@ -1,8 +1,11 @@
 """What the operators share: shared tables, Arrow helpers, connected components."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a new table in the shared folder and reads it back: the lineage ends there,
     lost executors cost nothing that was written, and the planner knows the table's true size."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append((path, None))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -33,10 +37,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like materialize, as a table in buckets of the key: where it is joined by that key, it isn't shuffled."""
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(df.sparkSession)}/{table}").saveAsTable(table)
+    path = f"{shared_dir(df.sparkSession)}/{table}"
+    _made.append((path, table))
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Shared tables made within it go at its end, from the folder and the catalog, but for those written by the function it gives (like materialize).
+
+    A result that reads such tables must be written within it: an operator's result is lazy.
+    """
+    before, kept = len(_made), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        found = materialize(df, name)
+        kept.append(_made[-1])
+        return found
+
+    try:
+        yield keep
+    finally:
+        for path, table in _made[before:]:
+            if (path, table) not in kept:
+                if table:
+                    spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made[before:] = kept
+
+
+#: The shared tables made so far: (path, name in the catalog or None).
+_made: list[tuple[str, str | None]] = []
+_SPACE = re.compile(rb"[ \t-\r]")
 #: Bytes of rows in a batch that Spark hands to a Python task.
 BATCH_BYTES = 4 << 20
 
@@ -56,21 +90,6 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
 
 
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """docs (all its columns) with one row of those alike in doc_id and text (null: empty, a null id like any other), the least.
-
-    Both aggregates begin in each task, so rows that are often repeated send one row a task; other rows' texts stay where they are
-    unless the set of repeated ones is too large to broadcast.
-    """
-    mark = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(docs["text"], F.lit("")))
-    repeated = materialize(docs.select(mark.alias("mark")).groupBy("mark").count().where("count > 1").select("mark"), "repeated")
-    if repeated.isEmpty():
-        return docs
-    rows = docs.join(repeated, mark == repeated["mark"], "left_semi")
-    least = rows.groupBy(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).agg(F.min(F.struct(*columns_of(docs))).alias("_row"))
-    return docs.join(repeated, mark == repeated["mark"], "left_anti").unionByName(least.select("_row.*"))
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -94,6 +113,17 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
         yield batch.slice(start)
 
 
+def word_parts(text: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text (runs of anything but ASCII white space), in parts of about `step` bytes."""
+    lo = 0
+    while lo < len(text):
+        hi = lo + step
+        end = _SPACE.search(text, hi)
+        hi = end.start() if end else len(text)
+        yield text[lo:hi].split()
+        lo = hi
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[0], starts[0]+1, ... (lengths[0] of them), then those of starts[1], and so on."""
     total = int(lengths.sum())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import arrow_schema, bucketed, ragged, slices, text_of
+from brightwell.llm.common import arrow_schema, bucketed, expand, pack_array, ragged, slices, squeeze, table_of, text_of, unpack_array, word_parts
 
 WINDOW, GRAM = 50, 32
 #: The sketch has ROWS rows of cells; an owner has SHARD cells of a row.
@@ -83,14 +83,19 @@ def _minimizers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a run of documents, end to end, and the windows that lie within one document.
 
-    A long document comes in segments that overlap by a window less a word, so that each of its
-    windows lies in one of them; memory is bounded whatever its length.
+    A document is its text, or a list of its words. A long text is split in parts, so that what is
+    held of a word is its two hashes; its windows come in segments that overlap by a window less a
+    word, so that each of them lies in one.
     """
 
-    def __init__(self, lists: list[list[bytes]], known: WordNumbers):
-        self.counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        numbers = np.fromiter((known[w] for ws in lists for w in ws), np.int64, int(self.counts.sum()))
-        self.hashes = known.hashes()[numbers]
+    def __init__(self, docs: list[bytes | list[bytes]], known: WordNumbers):
+        numbers, counts = [np.empty(0, np.uint32)], []
+        for doc in docs:
+            parts = [np.fromiter(map(known.__getitem__, ws), np.uint32, len(ws)) for ws in (word_parts(doc) if isinstance(doc, bytes) else [doc])]
+            counts.append(sum(map(len, parts)))
+            numbers += parts
+        self.counts = np.array(counts, np.int64)
+        self.hashes = known.hashes()[np.concatenate(numbers)]
         self.firsts = np.cumsum(self.counts) - self.counts
 
     def windows(self, segment: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,37 +119,12 @@ def _cells(grams: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (_mix(grams + np.uint64((row + 1) * _M1 & (1 << 64) - 1)) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def _squeeze(data: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.compress(data, 1)
-
-
-def _expand(data: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.decompress(data)
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """An array, compressed byte plane by byte plane."""
-    return _squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
-
-
-def _unpack(code: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(_expand(code), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def _gaps(ascending: np.ndarray) -> bytes:
-    return _pack(np.diff(ascending, prepend=0).astype("<u4"))
+    return pack_array(np.diff(ascending, prepend=0).astype("<u4"))
 
 
 def _from_gaps(code: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(code, "<u4"), dtype=np.int64)
-
-
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
+    return np.cumsum(unpack_array(code, "<u4"), dtype=np.int64)
 
 
 #: A block's documents (row -1; shard numbers the parts; texts is their texts end to end, sizes their bytes), and its cells of a shard:
@@ -173,18 +153,18 @@ def _send_cells(cells: int, most_bytes: int):
         for batch in batches:
             for b in slices(batch, "text", SLICE):
                 texts, ids = b.column("text").cast(pa.binary()).to_pylist(), b.column("doc_id").to_pylist()
-                words = Words([t.split() if i is not None else [] for i, t in zip(ids, texts)], known)
+                words = Words([t if i is not None else b"" for i, t in zip(ids, texts)], known)
                 for hashes, starts, _, _ in words.windows():
                     own, best = _minimizers(hashes[:, 0])
                     grams.append(own[np.unique(best[starts])])
                 sizes = np.fromiter(map(len, texts), "<u8", len(texts))
-                yield _table([(block, -1, parts, ids, _pack(sizes), _squeeze(b"".join(texts)), None, None)], schema)
+                yield table_of([(block, -1, parts, ids, pack_array(sizes), squeeze(b"".join(texts)), None, None)], schema)
                 parts, held = parts + 1, held + int(sizes.sum()) + 64 * len(texts)
                 if held >= most_bytes:
-                    yield _table(list(cell_rows()), schema)
+                    yield table_of(list(cell_rows()), schema)
                     block, held, parts, grams, known = block + 1, 0, 0, [], WordNumbers()
         if held:
-            yield _table(list(cell_rows()), schema)
+            yield table_of(list(cell_rows()), schema)
 
     return run
 
@@ -219,6 +199,15 @@ def _often(grams: np.ndarray, said: list[np.ndarray], cells: int) -> np.ndarray:
 ASKED = "block long, owner int, part int, doc_ids array<long>, n_words array<long>, digests array<string>, texts array<binary>, starts array<binary>, sure array<binary>, numbers array<binary>, owners binary, h1 binary, h2 binary, least binary"
 
 
+def _by_owner(owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each owner with the places that name it, ascending, by one sort."""
+    owner = owner.astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    starts = np.flatnonzero(np.diff(owner[order], prepend=-1))
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        yield int(owner[order[lo]]), order[lo:hi]
+
+
 def _send_windows(cells: int, owners: int, with_text: bool):
     schema = arrow_schema(ASKED)
 
@@ -230,10 +219,9 @@ def _send_windows(cells: int, owners: int, with_text: bool):
         known, found, plain = WordNumbers(), [], []
         parts = sorted(zip(*(docs.column(c).to_pylist() for c in ("shard", "doc_ids", "sizes", "texts"))))
         for part, ids, sizes, data in parts:
-            ends, data = np.cumsum(_unpack(sizes, "<u8"), dtype=np.int64).tolist(), _expand(data)
+            ends, data = np.cumsum(unpack_array(sizes, "<u8"), dtype=np.int64).tolist(), expand(data)
             texts = [data[i:j] for i, j in zip([0, *ends], ends)]
-            lists = [t.split() for t in texts]
-            words = Words([ws if i is not None else [] for i, ws in zip(ids, lists)], known)
+            words = Words([t if i is not None else b"" for i, t in zip(ids, texts)], known)
             first = len(plain)
             for hashes, starts, doc, at in words.windows():
                 grams, best = _minimizers(hashes[:, 0])
@@ -243,7 +231,7 @@ def _send_windows(cells: int, owners: int, with_text: bool):
                 h2 = (_mix(_rolling(hashes[:, 1], WINDOW, _M2)[starts[keep]]) >> np.uint64(32)).astype("<u4")
                 found.append((h1, h2, first + doc[keep], at[keep]))
             may = {int(d) - first for f in found for d in np.unique(f[2]) if d >= first}
-            plain += [(i, len(ws), _digest(ws), _squeeze(t) if with_text or n in may else None, part) for n, (i, ws, t) in enumerate(zip(ids, lists, texts))]
+            plain += [(i, *_digest(t), squeeze(t) if with_text or n in may else None, part) for n, (i, t) in enumerate(zip(ids, texts))]
         h1, h2, doc, at = map(np.concatenate, zip((np.empty(0, np.uint64), np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)), *found))
         del found, known
         ids = np.array([p[0] or 0 for p in plain], np.int64)[doc]
@@ -269,19 +257,19 @@ def _send_windows(cells: int, owners: int, with_text: bool):
             kept = [s.stop > s.start for s in spans]
             starts = [_gaps(at[s]) if k else None for s, k in zip(spans, kept)]
             bits = [np.packbits(sure[s]).tobytes() if k else None for s, k in zip(spans, kept)]
-            numbers = [_pack(np.diff(number[s], prepend=0).astype("<i4")) if k else None for s, k in zip(spans, kept)]
-            rows.append((block, -1, lo, *([plain[d][i] for d in own] for i in range(4)), starts, bits, numbers, _pack(owner.astype("<u4")) if not lo else None, None, None, None))
-        for o in np.unique(owner).tolist():
-            sent = head[owner == o]
-            rows.append((block, o, 0, *[None] * 8, _pack(h1[sent].astype("<u8")), _pack(h2[sent]), _pack(ids[sent].astype("<i8"))))
-        return pa.Table.from_batches([_table(rows, schema)])
+            numbers = [pack_array(np.diff(number[s], prepend=0).astype("<i4")) if k else None for s, k in zip(spans, kept)]
+            rows.append((block, -1, lo, *([plain[d][i] for d in own] for i in range(4)), starts, bits, numbers, pack_array(owner.astype("<u4")) if not lo else None, None, None, None))
+        for o, at_owner in _by_owner(owner):
+            sent = head[at_owner]
+            rows.append((block, o, 0, *[None] * 8, pack_array(h1[sent].astype("<u8")), pack_array(h2[sent]), pack_array(ids[sent].astype("<i8"))))
+        return pa.Table.from_batches([table_of(rows, schema)])
 
     return run
 
 
 def _answer_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """An owner's windows: each block is told which of its own a smaller doc_id than its smallest has."""
-    asked = [[_unpack(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("h1", "<u8"), ("h2", "<u4"), ("least", "<i8"))]
+    asked = [[unpack_array(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("h1", "<u8"), ("h2", "<u4"), ("least", "<i8"))]
     h1, h2, least = map(np.concatenate, asked)
     order = np.lexsort((least, h2, h1))
     fresh = np.ones(len(order), bool)
@@ -292,16 +280,28 @@ def _answer_windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "owner": pa.array([key[0].as_py()] * len(marks), pa.int32()), "gone": pa.array(marks, pa.binary())})
 
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def _digest(text: bytes) -> tuple[int, str]:
+    """The count of a text's words, and the SHA-256 of these, joined by spaces."""
+    n, found = 0, hashlib.sha256()
+    for words in word_parts(text):
+        if words:
+            found.update((b" " if n else b"") + b" ".join(words))
+            n += len(words)
+    return n, found.hexdigest()
 
 
-def remove_covered(words: list[bytes], starts: np.ndarray) -> list[bytes]:
-    """The words that no window of 50 from one of `starts` covers."""
-    edge = np.zeros(len(words) + 1, np.int64)
+def remove_covered(text: bytes, n: int, starts: np.ndarray) -> tuple[int, bytes]:
+    """The words of a text of n words that no window of 50 from one of `starts` covers: their count, and they joined by spaces."""
+    edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + WINDOW, len(words)), -1)
-    return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+    np.add.at(edge, np.minimum(starts + WINDOW, n), -1)
+    left, at, kept = np.cumsum(edge[:-1]) == 0, 0, []
+    for words in word_parts(text):
+        own = [words[i] for i in np.flatnonzero(left[at : at + len(words)])]
+        at += len(words)
+        if own:
+            kept.append(b" ".join(own))
+    return int(left.sum()), b" ".join(kept)
 
 
 FOUND = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
@@ -311,10 +311,11 @@ def _finish(with_text: bool):
     schema = arrow_schema(FOUND)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        owner = _unpack(next(o for o in docs.column("owners").to_pylist() if o), "<u4")
+        owner = unpack_array(next(o for o in docs.column("owners").to_pylist() if o), "<u4")
         gone, out = np.zeros(len(owner), bool), []
+        places = dict(_by_owner(owner))
         for o, marks in zip(*(answers.column(c).to_pylist() for c in ("owner", "gone"))):
-            at = np.flatnonzero(owner == o)
+            at = places[o]
             gone[at] = np.unpackbits(np.frombuffer(marks, np.uint8))[: len(at)].astype(bool)
         for part in docs.select(["doc_ids", "n_words", "digests", "texts", "starts", "sure", "numbers"]).to_pylist():
             rows = []
@@ -322,20 +323,22 @@ def _finish(with_text: bool):
                 left, removed = None, 0
                 if starts is not None:
                     at = _from_gaps(starts)
-                    hit = np.unpackbits(np.frombuffer(sure, np.uint8))[: len(at)].astype(bool) | gone[np.cumsum(_unpack(numbers, "<i4"), dtype=np.int64)]
+                    hit = np.unpackbits(np.frombuffer(sure, np.uint8))[: len(at)].astype(bool) | gone[np.cumsum(unpack_array(numbers, "<i4"), dtype=np.int64)]
                     if hit.any():
-                        left = remove_covered(_expand(text).split(), at[hit])
-                        removed, digest = n - len(left), _digest(left)
-                if with_text:
-                    left = b" ".join(_expand(text).split() if left is None else left)
+                        stays, left = remove_covered(expand(text), n, at[hit])
+                        removed, digest = n - stays, hashlib.sha256(left).hexdigest()
+                if with_text and left is None:
+                    left = b" ".join(expand(text).split())
                 rows.append((doc_id, n, removed, digest, left if with_text else None))
-            out.append(_table(rows, schema))
+            out.append(table_of(rows, schema))
         return pa.Table.from_batches(out, schema)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None, with_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None, with_text: bool = True, block_bytes: int = BLOCK_BYTES, owner_bytes: int | None = None
+) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by spaces).
 
     Words are runs of anything but ASCII white space. A word goes if a window of 50 words covers it
@@ -348,15 +351,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shuffled; nothing is broadcast or sent to the driver. A window that is in very many documents
     reaches its owner once from each block. `cells` (a power of 2; by default it follows the bytes
     of text) sizes the sketch: a fuller one lets more windows through to the exact pass, and never
-    fewer than repeat. Messages are at most blocks x owners: from about a TB of text on, larger
-    blocks and more cells and windows an owner (block_bytes, SHARD, OWNER_BYTES) keep these few.
+    fewer than repeat. Messages are at most blocks x owners and at most the suspect windows, and a
+    block's work is in proportion to its windows, not to the owners: from about a TB of text on,
+    messages become small (some windows each), which larger blocks and owners (block_bytes,
+    owner_bytes) put off. A long text stands alone in its block and is split in parts.
     Without `with_text`, `kept` is missing and only texts with suspect windows are written again.
     """
     spark = docs.sparkSession
     texts = text_of(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = cells or max(SHARD, 1 << (size // CELL_BYTES).bit_length())
-    owners, buckets = 1 + size // OWNER_BYTES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // (4 * block_bytes))
+    owners, buckets = 1 + size // (owner_bytes or OWNER_BYTES), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // (4 * block_bytes))
     sent = bucketed(texts.mapInArrow(_send_cells(cells, block_bytes), SENT), "cells", "block", buckets)
     said = sent.where("row >= 0").select("block", "row", "shard", "cells", "more").groupBy("row", "shard").applyInArrow(_count_cells, "block long, row int, shard int, often binary")
     own = sent.where("row < 0").select("block", "shard", "doc_ids", "sizes", "texts")
