@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightwell.llm.common import BATCH_BYTES, binary_array, materialize, shared_dir
+from brightwell.llm.exact_dedup import at_home, join_marked
 
 CRLF, END = "\r\n", "\r\n\r\n"
 #: zlib's name for the gzip format.
@@ -37,15 +38,23 @@ def base32_sha1(value: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def classify(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, payload_digest, refers_to): refers_to is the smallest page_id of the equal
-    payloads of at least least_bytes, null for that page itself."""
+def classify(pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(responses, revisits): both page_id, url, html, size (bytes of the payload), payload_digest and refers_to.
+
+    A revisit's payload is equal, by its SHA-1, to that of refers_to, the smallest page_id of the
+    equal payloads of at least least_bytes; its html is left out. Pages are written once, at their
+    home, and the places of revisits are sent there, so no html is shuffled. Digests and the first
+    pages of repeated ones are tables, so a payload of very many pages is a key that AQE can split.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("payload_digest", base32_sha1(F.col("html").cast("binary")))
-    small = F.octet_length("html") < least_bytes
-    first = rows.where(~small).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(first.select("payload_digest", "first").hint("merge"), "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when(~small & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
+    rows = at_home(rows.withColumn("size", F.octet_length("html")).withColumn("payload_digest", base32_sha1(F.col("html").cast("binary"))))
+    payloads = materialize(rows.select("place", "page_id", "url", "size", "payload_digest").where(F.col("size") >= least_bytes), "payloads")
+    first = payloads.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    first = materialize(first.drop("n"), "first")
+    revisits = materialize(payloads.join(first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))), "revisits")
+    columns = ["page_id", "url", "html", "size", "payload_digest", "refers_to"]
+    responses = join_marked(rows, revisits, "left_anti").withColumn("refers_to", F.lit(None).cast("long"))
+    return responses.select(columns), revisits.withColumn("html", F.lit("")).select(columns)
 
 
 def _record() -> Column:
@@ -55,7 +64,7 @@ def _record() -> Column:
         return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
 
     revisit = F.col("refers_to").isNotNull()
-    size = F.octet_length("html").cast("string")
+    size = F.col("size").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
@@ -94,7 +103,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     is an empty gzip member here.
     """
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    records = classify(pages, least_bytes).select(_record().cast("binary").alias("record"))
+    responses, revisits = classify(pages, least_bytes)
+    records = responses.unionByName(revisits).select(_record().cast("binary").alias("record"))
     archives = records.mapInArrow(_archives(archive_bytes), "archive binary").select(F.col("archive").cast("string").alias("value"))
     nothing = zlib.compress(b"", wbits=GZIP).decode("latin-1")
     archives.write.option("encoding", "ISO-8859-1").option("lineSep", nothing).option("maxRecordsPerFile", 1).text(path)
@@ -172,8 +182,8 @@ def _captures(batches):
 
 
 def _order(row) -> tuple:
-    """By URL key as UTF-8, time, and id; a null id last."""
-    return row[0].encode(), row[1], row[2] is None, row[2] or 0
+    """By URL key as UTF-8, time, and id (a null id last); captures alike in these by their places in the archives."""
+    return row[0].encode(), row[1], row[2] is None, row[2] or 0, row[9], row[10]
 
 
 class LoserTree:
@@ -238,7 +248,7 @@ def capture_index(spark, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     runs = materialize(files.mapInArrow(_captures, CAPTURE), "runs")
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
-    return runs.repartitionByRange(ranges, "urlkey", "capture_time", F.col("page_id").asc_nulls_last()).mapInArrow(_merge_runs, CAPTURE)
+    return runs.repartitionByRange(ranges, "urlkey", "capture_time", F.col("page_id").asc_nulls_last(), "archive", "record_offset").mapInArrow(_merge_runs, CAPTURE)
 
 
 def warc_round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -248,8 +258,10 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0, path: str | None = N
     url, intact (digest and length agree with what was read), archive, record_offset, record_length
     (of the record's gzip member). A null html is an empty payload, a null url an empty one; line ends in a URL are percent-encoded. A null page_id stays null and
     refers to the smallest id of its payload, if any; rows that repeat a page are records each. An
-    empty table gives no rows; other columns are ignored. The payload's hot digests are reduced by
-    a partial aggregate and their join is split by AQE; a hot URL is cut by time and id.
+    empty table gives no rows; other columns are ignored. A long page is a record of its own archive,
+    and so is held whole by a task. Payloads are equal if their SHA-1 is. Hot digests are
+    reduced by a partial aggregate and their join is split by AQE; a hot URL is cut by time and id, and
+    repeated pages by their places in the archives.
     """
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least_bytes, archive_bytes)
