@@ -151,14 +151,15 @@ def suspects(texts: DataFrame, per_owner: int = 1 << 18) -> DataFrame:
 
 
 def copy_groups(texts: DataFrame) -> DataFrame:
-    """(text_sha256, keep_id, group_size) of each text of an at_home table that occurs more than once, compared byte by byte.
+    """(text_sha256, keep_id, keep_place, group_size) of each text of an at_home table that occurs more than once, compared byte by byte.
 
     Grouping is by the text itself after a partial aggregate in each task, so a hot group sends one
     row a task. The SHA-256 is a verified group's handle.
     """
     marked = join_marked(texts, suspects(texts), "left_semi")
-    groups = marked.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    return groups.select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
+    last = F.max(F.struct("doc_id", (-F.col("place")).alias("less"))).alias("last")
+    groups = marked.groupBy("text").agg(last, F.count("*").alias("group_size")).where("group_size > 1")
+    return groups.select(F.sha2("text", 256).alias("text_sha256"), F.col("last.doc_id").alias("keep_id"), (-F.col("last.less")).alias("keep_place"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,15 +182,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs (all its columns) without the rows that exact_dedup drops.
+def drop_exact_copies(docs: DataFrame, one_each: bool = False) -> DataFrame:
+    """docs (all its columns, of any type) without the rows that exact_dedup drops.
 
-    Rows that repeat the kept row's id and text stay with it. A null text equals an empty one; of a
-    group whose ids are all null every row stays; an empty table gives no rows. Rows stay where they
-    were written: the places of those that go are sent to them.
+    Rows that repeat the kept row's id and text stay with it, and of a group whose ids are all null
+    every row stays; with one_each, one row of a group stays. A null text equals an empty one; an
+    empty table gives no rows. Rows stay where they were written: the places of those that go are
+    sent to them.
     """
     rows = at_home(docs.select(F.struct(*columns_of(docs)).alias("doc")))
     texts = rows.select("home", "place", F.col("doc.doc_id").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text"))
     groups = materialize(copy_groups(texts), "groups")
-    lost = texts.select("place", "doc_id", F.sha2("text", 256).alias("text_sha256")).join(groups.hint("merge"), "text_sha256").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    other = F.col("place") != F.col("keep_place") if one_each else ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    lost = texts.select("place", "doc_id", F.sha2("text", 256).alias("text_sha256")).join(groups.hint("merge"), "text_sha256").where(other)
     return join_marked(rows, lost, "left_anti").select("doc.*")

@@ -6,13 +6,16 @@ linked. A variant has at most 65 such neighbours, so no bucket grows with the da
 """
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import connected_components, materialize, slices, text_of
-from brightwell.llm.minhash_bands import bands, digest_key, lost_texts
+from brightwell.llm.common import columns_of, connected_components, materialize, slices, text_of, word_parts
+from brightwell.llm.exact_dedup import at_home, join_marked
+from brightwell.llm.minhash_bands import bands, digest_key, grams, lost_texts
 
 RADIUS = 2
 
@@ -26,20 +29,27 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     """
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()  # on bytes, only A-Z change and only the six ASCII spaces part words
-    if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    counts = np.zeros(64, np.int64)
-    for lo in range(0, n, 1 << 15):
-        part = words[lo : min(lo + (1 << 15), n) + width - 1]
-        grams = zip(*(part[i:] for i in range(width))) if len(words) >= width else [words]
-        hashes = np.fromiter((xxh64_intdigest(b" ".join(g), seed) for g in grams), np.uint64)
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int32)
+    # on bytes, only A-Z change and only the six ASCII spaces part words
+    counts, n, held, hashed = np.zeros(64, np.int64), 0, [], partial(xxh64_intdigest, seed=seed)
+    for part in word_parts(text.lower()):
+        held += part
+        if len(held) >= width:
+            counts, n = counts + _bits(map(hashed, map(b" ".join, zip(*(held[i:] for i in range(width)))))), n + len(held) - width + 1
+            held = held[len(held) - width + 1 :]
+    if not n and held:
+        counts, n = _bits([hashed(b" ".join(held))]), 1
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def _bits(hashes) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    found = np.fromiter(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
+    total = np.zeros(64, np.int64)
+    for lo in range(0, len(found), 1 << 15):
+        total += np.unpackbits(found[lo : lo + (1 << 15)], axis=1).sum(axis=0, dtype=np.int32)
+    return total
+
+
 def _fingerprints(batches):
     for batch in batches:
         for b in slices(batch, "text"):
@@ -74,43 +84,68 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(links(prints.select("fp").distinct()))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = materialize(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # both sides are read from tables, so that a component of very many fingerprints is a key that AQE can split
+    least = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     classes = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
     classes = materialize(classes, "classes")  # read from a table, so that a fingerprint of very many documents is a key that AQE can split
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _signed(batches):
-    """(doc_id, key, fp, n, bands): a text's fingerprint, its count of shingles and the hashes of its bands."""
+    """(place, doc_id, key, fp, n, bands): a text's fingerprint, its count of shingles and the hashes of its bands."""
     for batch in batches:
         for b in slices(batch, "text"):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
-            found = [bands(t) for t in texts]
-            lists = pa.array([h for _, h in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(prints.view(np.int64)), pa.array([n for n, _ in found], pa.int64()), lists], ["doc_id", "key", "fp", "n", "bands"])
+            sizes, lists = [], []
+            for t in texts:
+                hashes = grams(t)
+                sizes.append(len(hashes))
+                lists.append(bands(hashes))
+            columns = [*(b.column(c) for c in ("place", "doc_id", "key")), pa.array(prints.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["place", "doc_id", "key", "fp", "n", "bands"])
+
+
+def _grams(batches):
+    """(key, grams) of (key, text)."""
+    for batch in batches:
+        for b in slices(batch, "text", 1 << 20):
+            found = pa.array([grams(t).astype("<u8").tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("key"), found], ["key", "grams"])
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs (all its columns) without near copies: a row goes only if a row that stays has a text alike to its own.
+def drop_near_copies(docs: DataFrame, one_each: bool = False) -> DataFrame:
+    """docs (all its columns, of any type) without near copies: a row goes only if a row that stays has a text alike to its own.
 
     Texts are alike when their sets of five-word shingles (word_jaccard: lower-cased, split at white
     space; fewer words: one shingle; null, empty and blank texts are alike) have a Jaccard similarity
-    of 0.8 or more, counted on whole texts. Candidates are texts of one SimHash component, and texts
-    that share a band of MinHash values, as few pairs of 0.8 are within the radius. The smallest
-    doc_id stays; a null id is above all others. Of one text, the rows of its smallest id stay. Rows
-    of one id with unlike texts go or stay by their own text. An empty table gives no rows. Texts are
-    told apart by their MD5.
+    of 0.8 or more, counted on whole texts by 64-bit hashes of the shingles. Candidates are texts of
+    one SimHash component, and texts that share a band of MinHash values, as few pairs of 0.8 are
+    within the radius. The smallest doc_id stays, but for chains of many texts (settle); a null id is
+    above all others. Of one text, the rows of its smallest id stay; with one_each, one of these.
+    Rows of one id with unlike texts go or stay by their own text. An empty table gives no rows.
+    Texts are told apart by their MD5. Long texts are read in parts.
+
+    Rows are written once, at their home, and the places of those that go are sent there, so no text
+    is shuffled; the hashes of texts in candidate pairs are.
     """
-    texts = text_of(docs, "doc_id", "text").withColumn("key", digest_key(F.col("text")))
-    signed = materialize(texts.mapInArrow(_signed, "doc_id long, key binary, fp long, n long, bands array<long>"), "signatures")
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("fp", "n", "bands")))
+    rows = at_home(docs.select(F.struct(*columns_of(docs)).alias("doc")))
+    texts = rows.select("home", "place", F.col("doc.doc_id").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text")).withColumn("key", digest_key(F.col("text")))
+    text_of(docs, "doc_id", "text")  # bounds the session's batches
+    signed = materialize(texts.select("place", "doc_id", "key", "text").mapInArrow(_signed, "place long, doc_id long, key binary, fp long, n long, bands array<long>"), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "place")).alias("first")
+    nodes = signed.groupBy("key").agg(first, F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("fp", "n", "bands")))
     roots = connected_components(links(signed.select("fp").distinct()))
     component = F.xxhash64(F.lit("component"), F.coalesce("root", "fp"))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("bands", F.concat("bands", F.array(component)))
-    nodes = materialize(nodes.select("key", "least", "copies", "n", "bands"), "nodes")
-    gone = materialize(lost_texts(nodes, texts.select("key", "text")).withColumn("gone", F.lit(True)), "gone")
-    marked = materialize(nodes.select("key", "least", "copies").join(gone, "key", "left").where("gone or copies > 1"), "marked")
-    lost = signed.select("doc_id", "key").join(marked, "key").where(F.col("gone").isNotNull() | ~F.col("doc_id").eqNullSafe(F.col("least")))
-    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("key").alias("lost_key"))
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["lost_id"]) & (digest_key(docs["text"]) == lost["lost_key"]), "left_anti")
+    nodes = materialize(nodes.select("key", F.col("first.doc_id").alias("least"), F.col("first.place").alias("place"), "copies", "n", "bands"), "nodes")
+
+    def grams_of(keys: DataFrame) -> DataFrame:
+        places = nodes.join(keys, "key", "left_semi").select("place")
+        return join_marked(texts, places, "left_semi").select("key", "text").mapInArrow(_grams, "key binary, grams binary")
+
+    gone = materialize(lost_texts(nodes, grams_of).withColumn("gone", F.lit(True)), "gone")
+    marked = nodes.select("key", "least", F.col("place").alias("stays"), "copies").join(gone, "key", "left").where("gone or copies > 1")
+    other = F.col("place") != F.col("stays") if one_each else ~F.col("doc_id").eqNullSafe(F.col("least"))
+    lost = signed.select("place", "doc_id", "key").join(materialize(marked, "marked"), "key").where(F.col("gone").isNotNull() | other)
+    return join_marked(rows, lost, "left_anti").select("doc.*")
