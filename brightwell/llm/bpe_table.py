@@ -183,7 +183,7 @@ def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(vocab)
     kind = "<u2" if len(pieces(vocab)) <= 1 << 16 else "<u4"
     size, partitions = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards, buckets = max(partitions, 1 + size // shard_bytes), max(partitions, 1 + size // (4 * block_bytes))
+    shards, buckets = max(partitions, 1 + size // shard_bytes), max(partitions, 1 + size // (4 * BLOCK_BYTES))
     sent = bucketed(texts.mapInArrow(_blocks(shards, block_bytes), SENT), "words", "block", buckets)
     asked = sent.where("shard >= 0").select("block", "shard", "sizes", "data").repartition("shard").sortWithinPartitions("shard")
     answers = asked.mapInArrow(_encode_words(shared, kind), "block long, shard int, sizes binary, ids binary")

@@ -35,7 +35,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like materialize, as a table in buckets of the key: where it is joined by that key, it isn't shuffled."""
+    """Like materialize, as a table in buckets of the key: where it is joined by that key, it isn't shuffled. There are no more buckets than Spark takes."""
+    buckets = min(buckets, int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(df.sparkSession)}/{table}"
     _made.append((path, table))
