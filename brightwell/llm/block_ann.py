@@ -4,6 +4,10 @@ Vectors are packed into blocks with int8 codes, scales and the norms of what qua
 tile multiplies the codes of a group of queries with those of a group of candidates; the product
 and its error bound tell which pairs can still be among the k nearest. Only these are computed on
 the original vectors, in double precision, and the tiles' short lists are merged by heaps.
+
+Candidates are grouped by norm. Queries first meet the group of the largest norms; the k-th product
+found there tells how large a norm must be for a product to matter, and groups of smaller norms
+are never sent to those queries.
 """
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ from pyspark.sql import types as T
 
 from brightwell.llm.common import materialize
 
-BLOCK = "dim int, part long, n long, ids binary, codes binary, scale binary, lost binary, norm binary, vectors binary"
+BLOCK = "dim int, part long, n long, ids binary, codes binary, scale binary, lost binary, norm binary, vectors binary, top double"
 MERGE = 32
 
 
@@ -37,12 +41,12 @@ def norms(x: np.ndarray) -> np.ndarray:
 
 def _blocks(kind: str, most_rows: int):
     names = [c.split()[0] for c in BLOCK.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.float64()]
 
     def row(ids: np.ndarray, x: np.ndarray, part: int) -> tuple:
         codes, scale, lost = quantize(x.astype(np.float64))
         norm = norms(x.astype(np.float64))
-        return x.shape[1], part, len(ids), ids.astype("<i8").tobytes(), codes.tobytes(), scale.tobytes(), lost.tobytes(), norm.tobytes(), x.tobytes()
+        return x.shape[1], part, len(ids), ids.astype("<i8").tobytes(), codes.tobytes(), scale.tobytes(), lost.tobytes(), norm.tobytes(), x.tobytes(), float(norm.max())
 
     def run(batches):
         from pyspark import TaskContext
@@ -86,8 +90,8 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def tile(q: _Side, c: _Side, k: int, rows: int = 256, columns: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, exact products): for each query, its k nearest of these candidates, each id once.
+def tile(q: _Side, c: _Side, k: int, rows: int = 256, columns: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, candidate ids, exact products) of each query's k nearest of these candidates, each id once; and each query's k-th product.
 
     A tile is `rows` queries by `columns` candidates. What a query has found so far is carried on: its
     k-th best product bounds the pairs of later tiles. Bounds that aren't finite exclude nothing.
@@ -122,7 +126,7 @@ def tile(q: _Side, c: _Side, k: int, rows: int = 256, columns: int = 4096) -> tu
             counts = np.bincount(row, minlength=n)
             full = np.flatnonzero(counts >= k)
             kth[full] = np.fmax(score[(np.cumsum(counts) - 1)[full]], -np.inf)  # no number bounds nothing
-        out.append((q.ids[own][row], cid, score))
+        out.append((q.ids[own][row], cid, score, kth))
     return tuple(map(np.concatenate, zip(*out)))
 
 
@@ -141,6 +145,8 @@ def _best(row: np.ndarray, cid: np.ndarray, score: np.ndarray, k: int) -> tuple[
 
 
 PAIRS = "bucket long, node long, query_id long, vec_id long, score double"
+#: Products and norms are off by less than so much of themselves.
+SLACK = 1e-9
 
 
 def _pairs(bucket, node, qid, cid, score) -> pa.Table:
@@ -148,12 +154,25 @@ def _pairs(bucket, node, qid, cid, score) -> pa.Table:
     return pa.table({"bucket": pa.array(np.full(n, bucket, np.int64)), "node": pa.array(np.full(n, node, np.int64)), "query_id": pa.array(np.asarray(qid, np.int64)), "vec_id": pa.array(np.asarray(cid, np.int64)), "score": pa.array(np.asarray(score, np.float64))})
 
 
-def _tile(k: int, kind: str):
+def least_norm(q: _Side, kth: np.ndarray) -> float:
+    """The norm that a vector needs for a product with some of these queries to reach what is their k-th best so far; minus infinity if any will do."""
+    with np.errstate(all="ignore"):
+        need = kth / (q.norm * (1 + SLACK))
+    return float(np.where((kth > 0) & np.isfinite(need), need, -np.inf).min())
+
+
+def _tile(k: int, kind: str, first: bool = False):
+    """Task side: a group of queries and one of candidates to PAIRS; the first ones with the norm that other candidates need to matter to these queries."""
+
     def run(key: tuple, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        if not queries.num_rows or not candidates.num_rows:
-            return _pairs(0, 0, [], [], [])
-        bucket, node = key[0].as_py(), key[1].as_py()
-        return _pairs(bucket, node, *tile(_Side(queries, kind), _Side(candidates, kind), k))
+        found, need, dim = _pairs(0, 0, [], [], []), -np.inf, 0
+        if queries.num_rows and candidates.num_rows:
+            q = _Side(queries, kind)
+            *pairs, kth = tile(q, _Side(candidates, kind), k)
+            found, need, dim = _pairs(key[0].as_py(), key[1].as_py(), *pairs), least_norm(q, kth), key[2].as_py()
+        if first:
+            found = found.append_column("dim", pa.array(np.full(found.num_rows, dim, np.int32))).append_column("need", pa.array(np.full(found.num_rows, need)))
+        return found
 
     return run
 
@@ -203,30 +222,44 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     and an id is listed once, at its best score. With fewer than k candidates all are listed; an
     empty table gives no rows. Other columns are ignored.
 
-    Every group of queries meets every group of candidates in one task that holds these two groups
-    only: about `query_rows` queries and `group_bytes` of candidates' vectors, whatever their length.
-    A task carries each query's k best over its candidates and returns no more than these. Short lists are merged in rounds of MERGE groups.
+    Candidates are dealt by norm, in groups of about `group_bytes` of vectors, whatever their length,
+    and queries in groups of about `query_rows`. A task holds one group of each, carries each query's
+    k best over its candidates and returns no more than these. All queries meet the group of the
+    largest norms, and another one only if its norms are large enough for what was found there; where
+    all norms are alike, every group meets every group. Short lists are merged in rounds of MERGE groups.
     """
     rows = usable(vectors, id_col, vector_col)
     spark = vectors.sparkSession
     kind = "<f8" if isinstance(vectors.schema[vector_col].dataType.elementType, T.DoubleType) else "<f4"
-    candidates = materialize(rows.mapInArrow(_blocks(kind, block_rows), BLOCK), "candidates")
     queries = materialize(rows.where(F.col("vec_id") % every == 0).mapInArrow(_blocks(kind, block_rows), BLOCK), "queries")
-    n_c, bytes_c = candidates.agg(F.sum("n"), F.sum(F.octet_length("vectors"))).first()
+    n_c, bytes_c = rows.agg(F.count("*"), F.sum(F.size("embedding").cast("long") * int(kind[-1]))).first()
     n_q = queries.agg(F.sum("n")).first()[0] or 0
     groups_q = max(1, -(-n_q // query_rows))
     # no fewer tasks than the session has partitions for, where there are blocks enough
-    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")) // groups_q, (n_c or 0) // (4 * block_rows))
+    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")) // groups_q, n_c // (4 * block_rows))
     groups_c = max(1, spread, -(-(bytes_c or 0) // group_bytes))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    dealt = rows.withColumn("squares", squares).repartitionByRange(groups_c, F.desc("squares"), "vec_id").select("vec_id", "embedding")
+    candidates = materialize(dealt.mapInArrow(_blocks(kind, block_rows), BLOCK).withColumn("node", F.shiftright("part", 24)), "candidates")
+    queries = queries.withColumn("bucket", F.pmod(F.xxhash64("dim", "part"), F.lit(groups_q)))
 
-    def group(count: int):
-        return F.pmod(F.xxhash64("dim", "part"), F.lit(count))
-
-    left = queries.withColumn("bucket", group(groups_q)).withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups_c - 1).cast("long"))))
-    right = candidates.withColumn("node", group(groups_c)).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups_q - 1).cast("long"))))
+    nodes = materialize(candidates.groupBy("node", "dim").agg(F.max("top").alias("top")), "nodes")
+    lo, hi = nodes.agg(F.min("node"), F.max("node")).first()
     keys = ["bucket", "node", "dim"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile(k, kind), PAIRS)
-    width = groups_c
+
+    def meet(sent: DataFrame, first: bool) -> DataFrame:
+        """sent: (bucket, node, dim) of the groups that meet."""
+        left, right = queries.join(sent, ["bucket", "dim"]), candidates.join(sent, ["node", "dim"])
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile(k, kind, first), PAIRS + ", dim int, need double" * first)
+
+    asked = materialize(queries.select("bucket", "dim").distinct(), "asked")
+    found = materialize(meet(asked.join(nodes.where(F.col("node") == (lo or 0)).select("node", "dim"), "dim"), True), "first")
+    needs = found.groupBy("bucket", "dim").agg(F.min("need").alias("need"))
+    needs = materialize(asked.join(needs, ["bucket", "dim"], "left").select("bucket", "dim", F.coalesce("need", F.lit(float("-inf"))).alias("need")), "needs")
+    others = nodes.where(F.col("node") > (lo or 0)).withColumnRenamed("dim", "of_dim")
+    sent = needs.join(others, (F.col("dim") == F.col("of_dim")) & (F.col("top") * (1 + SLACK) >= F.col("need"))).select(*keys)
+    found = found.select(*(c.split()[0] for c in PAIRS.split(", "))).unionByName(meet(materialize(sent, "sent"), False))
+    width = (hi or 0) + 1
     while True:
         above = found.withColumn("from", F.col("node")).withColumn("node", F.floor(F.col("node") / MERGE))
         found = above.groupBy("bucket", "node").applyInArrow(_merge(k), PAIRS)

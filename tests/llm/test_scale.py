@@ -189,3 +189,26 @@ def test_place_of_copies(spark):
     found = exact_dedup.drop_exact_copies(frame(spark, rows), one_each=True).select("doc_id", "text").collect()
     assert by_key(found) == by_key([(None, "x"), (2, "y")])
     assert zlib.crc32(b"") == 0
+
+
+def test_groups_of_small_norms_are_not_sent(spark, monkeypatch):
+    """200,000 vectors whose norms differ: most groups of candidates are never sent, and results are exact."""
+    import numpy as np
+    import pyarrow as pa
+
+    from brightwell.llm import block_ann
+
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(200_000, 8)) * np.exp(rng.normal(size=(200_000, 1)))).astype(np.float32)
+    tables, f = {}, block_ann.materialize
+    monkeypatch.setattr(block_ann, "materialize", lambda df, name: tables.setdefault(name, f(df, name)))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 8).cast(pa.list_(pa.float32()))}))
+    found = block_ann.nearest(df, k=5, every=2000, query_rows=30, block_rows=500, group_bytes=200_000).collect()
+    nodes, buckets = tables["nodes"].count(), tables["asked"].count()
+    assert nodes >= 30 and buckets >= 3
+    assert tables["sent"].count() < 0.5 * buckets * (nodes - 1)
+    queries = np.arange(0, len(x), 2000)
+    score = x[queries].astype(np.float64) @ x.astype(np.float64).T
+    score[np.arange(len(queries)), queries] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :5]
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in found} == {(int(q), n + 1): int(i) for q, row in zip(queries, best) for n, i in enumerate(row)}
