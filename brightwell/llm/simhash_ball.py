@@ -131,7 +131,7 @@ def drop_near_copies(docs: DataFrame, one_each: bool = False) -> DataFrame:
     """
     rows = at_home(docs.select(F.struct(*columns_of(docs)).alias("doc")))
     texts = rows.select("home", "place", F.col("doc.doc_id").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text")).withColumn("key", digest_key(F.col("text")))
-    text_of(docs, "doc_id", "text")  # bounds the session's batches
+    text_of(docs, "doc_id", "text")  # bounds the session's batches by bytes
     signed = materialize(texts.select("place", "doc_id", "key", "text").mapInArrow(_signed, "place long, doc_id long, key binary, fp long, n long, bands array<long>"), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "place")).alias("first")
     nodes = signed.groupBy("key").agg(first, F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("fp", "n", "bands")))
@@ -140,12 +140,14 @@ def drop_near_copies(docs: DataFrame, one_each: bool = False) -> DataFrame:
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("bands", F.concat("bands", F.array(component)))
     nodes = materialize(nodes.select("key", F.col("first.doc_id").alias("least"), F.col("first.place").alias("place"), "copies", "n", "bands"), "nodes")
 
-    def grams_of(keys: DataFrame) -> DataFrame:
-        places = nodes.join(keys, "key", "left_semi").select("place")
-        return join_marked(texts, places, "left_semi").select("key", "text").mapInArrow(_grams, "key binary, grams binary")
+    def grams_of(places: DataFrame) -> DataFrame:
+        found = join_marked(texts, places.withColumnRenamed("key", "place"), "left_semi")
+        return found.select(F.col("place").alias("key"), "text").mapInArrow(_grams, "key long, grams binary")
 
-    gone = materialize(lost_texts(nodes, grams_of).withColumn("gone", F.lit(True)), "gone")
-    marked = nodes.select("key", "least", F.col("place").alias("stays"), "copies").join(gone, "key", "left").where("gone or copies > 1")
+    # among themselves, distinct texts are the places of their first rows
+    gone = lost_texts(nodes.select(F.col("place").alias("key"), "least", "n", "bands"), grams_of)
+    gone = materialize(gone.select(F.col("key").alias("stays"), F.lit(True).alias("gone")), "gone")
+    marked = nodes.select("key", "least", F.col("place").alias("stays"), "copies").join(gone, "stays", "left").where("gone or copies > 1")
     other = F.col("place") != F.col("stays") if one_each else ~F.col("doc_id").eqNullSafe(F.col("least"))
     lost = signed.select("place", "doc_id", "key").join(materialize(marked, "marked"), "key").where(F.col("gone").isNotNull() | other)
     return join_marked(rows, lost, "left_anti").select("doc.*")
