@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightwell.llm.common import columns_of, materialize, text_of
+from brightwell.llm.exact_dedup import PLACE_BITS, at_home
 
 
 @dataclass(frozen=True)
@@ -185,17 +186,35 @@ def _span(start: Column, number: int, end: Column, start_byte: Column, end_byte:
     return F.struct(start.alias("start"), F.lit(number).alias("rule"), end.alias("end"), start_byte.alias("start_byte"), end_byte.alias("end_byte"))
 
 
-def _with_spans(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """rows (row, text, key) with spans, array<SPAN> by start, then rule; key: of a document, alike in equal ones."""
+def _bits_at_home(found: DataFrame, kinds: list[str]) -> DataFrame:
+    """(to_home, bits0, bits1, ...: an array<long> for each kind) of candidates whose key is a place at home: a bit for each place, set where the kind's query finds it."""
+    at = F.col("key").bitwiseAND((1 << PLACE_BITS) - 1)
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    words = found.groupBy(F.shiftright("key", PLACE_BITS).alias("to_home"), F.shiftright(at, 6).cast("int").alias("word"))
+    words = words.agg(*(F.bit_or(F.when(F.array_contains("rules", kind), bit).otherwise(F.lit(0).cast("long"))).alias(f"of{n}") for n, kind in enumerate(kinds)))
+    homes = words.groupBy("to_home").agg(F.max("word").alias("last"), *(F.map_from_entries(F.collect_list(F.struct("word", f"of{n}"))).alias(f"of{n}") for n in range(len(kinds))))
+
+    def dense(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.col(f"of{n}")[i], F.lit(0).cast("long")))
+
+    return homes.select("to_home", *(dense(n).alias(f"bits{n}") for n in range(len(kinds))))
+
+
+def _with_spans(rows: DataFrame, rules: list[Rule], text: Column) -> DataFrame:
+    """rows (row) with text and with spans, array<SPAN> by start, then rule; text: what it is of row."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {kind: query for kind, query in queries.items() if query != ANYTHING}
     if indexed:
-        rows = rows.join(materialize(candidates(rows, indexed), "candidates"), "key", "left")
-    found = []
+        rows = at_home(rows)
+        found = materialize(candidates(rows.select(F.col("place").alias("key"), text.alias("text")), indexed), "candidates")
+        marks = materialize(_bits_at_home(found, sorted(indexed)), "bitmaps")
+        rows = rows.join(marks.hint("shuffle_hash"), rows["home"] == marks["to_home"], "left")
+    at, found, rows = F.col("place").bitwiseAND((1 << PLACE_BITS) - 1), [], rows.withColumn("text", text)
     for number, rule in enumerate(rules):
         asked = F.col("text").rlike(rule.scan or rule.pattern)
         if rule.kind in indexed:
-            asked = F.coalesce(F.array_contains("rules", rule.kind), F.lit(False)) & asked
+            word = F.get(F.col(f"bits{sorted(indexed).index(rule.kind)}"), F.shiftright(at, 6).cast("int"))
+            asked = F.coalesce(F.bit_get(word, at.bitwiseAND(63).cast("int")) == 1, F.lit(False)) & asked
         found.append(F.when(asked, spans(F.col("text"), rule, number)).otherwise(F.array().cast(f"array<{SPAN}>")))
     return rows.select("row", "text", F.sort_array(F.concat(*found)).alias("spans"))
 
@@ -206,13 +225,11 @@ def secret_spans(docs: DataFrame, rules: list[Rule] = BASE_RULES, id_col: str =
     rule is the number of the rule in the list; offsets are code points (and bytes), the end
     exclusive. A null text is an empty one; a null doc_id stays; rows that repeat a document repeat
     in the result; an empty table gives no rows; other columns are ignored. The work for a text grows
-    with its length and its matches. Each text is read once for the index and once for verifying; the
-    candidates' table is small beside the texts, and Spark broadcasts it only where its written size
-    is under spark.sql.autoBroadcastJoinThreshold; else texts are shuffled once to meet it.
+    with its length and its matches. Rows are written once, at their home, read for the index and
+    again for verifying; candidates are sent home as bitmaps, so texts are never shuffled.
     """
-    texts = text_of(docs, id_col, text_col)
-    found = _with_spans(texts.select(F.col("doc_id").alias("row"), "text", F.xxhash64("doc_id", "text").alias("key")), rules)
-    return found.withColumnRenamed("row", "doc_id")
+    rows = text_of(docs, id_col, text_col).select(F.struct("doc_id", "text").alias("row"))
+    return _with_spans(rows, rules, F.col("row.text")).select(F.col("row.doc_id").alias("doc_id"), "text", "spans")
 
 
 def span_count(found: Column, rule: int) -> Column:
@@ -248,11 +265,11 @@ def mask_secrets(docs: DataFrame, rules: list[Rule] = BASE_RULES) -> DataFrame:
     """docs (all its columns) with the secrets in text masked and n_chars, where there is one, kept true for the rows that change.
 
     No row is dropped: rows with null ids, null or empty texts and repeated rows stay, an empty table
-    gives no rows. Rows travel whole through secret_spans' one pass, so nothing is joined back.
+    gives no rows. Rows travel whole through secret_spans' passes, so nothing is joined back. Long
+    texts are masked whole.
     """
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), text.alias("text"), F.xxhash64(docs["doc_id"], text).alias("key"))
-    found = _with_spans(rows, rules).select("row", "spans", masked(F.col("text"), F.col("spans")).alias("new"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"))
+    found = _with_spans(rows, rules, F.coalesce("row.text", F.lit(""))).select("row", "spans", masked(F.col("text"), F.col("spans")).alias("new"))
     new = {"text": F.col("new")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)

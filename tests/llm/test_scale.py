@@ -212,3 +212,33 @@ def test_groups_of_small_norms_are_not_sent(spark, monkeypatch):
     score[np.arange(len(queries)), queries] = -np.inf
     best = np.argsort(-score, axis=1)[:, :5]
     assert {(r["query_id"], r["rank"]): r["vec_id"] for r in found} == {(int(q), n + 1): int(i) for q, row in zip(queries, best) for n, i in enumerate(row)}
+
+
+def test_secrets_shuffle_no_text_and_run_no_python(spark, monkeypatch):
+    """Every plan on the way, also where nothing may be broadcast."""
+    from pyspark.sql import functions as F
+
+    from brightwell.llm import secret_index
+
+    plans = []
+    for module, name in ((secret_index, "materialize"), (exact_dedup, "bucketed")):
+        f = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, *more, f=f: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df, *more))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = frame(spark, [*AWKWARD, *documents(SMALL, 20)])
+        found = secret_index.secret_spans(docs).select("doc_id", F.sha2("text", 256))
+        masked = secret_index.mask_secrets(docs)
+        plans += [df._jdf.queryExecution().executedPlan().toString() for df in (found, masked)]
+        assert masked.count() == found.count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 10
+    for plan in plans:
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning" in line:
+                below = lines[i + 1]
+                assert "text" not in below.replace("contains(", "") or "HashAggregate" in below or "Aggregate" in below, plan

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brightwell.llm import block_ann, secret_index, warc_index
+from brightwell.llm.common import materialize
 from brightwell.llm.queries import op2_warc, op8_secrets
 from brightwell.sources import read_table
 from tests.llm.cases import AWKWARD, SECRETS, alike_kept, by_key, documents, exact, frame, secrets
@@ -250,7 +251,7 @@ def test_pipeline_stages_against_brute_force(spark):
     docs = read_table(spark, SMALL, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = [(r["doc_id"], r["text"]) for r in docs.collect()]
-        docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), f"test-{name}")
+        docs = materialize(stage(spark, docs, SMALL), f"test-{name}")
         after = [(r["doc_id"], r["text"]) for r in docs.collect()]
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         if name == "exact_dedup":
