@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import bucketed, columns_of, materialize, text_of
+from brightwell.llm.common import bucketed, columns_of, materialize, scratch, text_of
 
 BITS = 48
 SENT = "block long, owner long, n long, k int, first binary, rest binary, again binary, counts binary, keys binary"
@@ -172,7 +172,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     texts = at_home(text_of(docs, id_col, text_col))
     all_docs = texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    groups = materialize(copy_groups(texts), "groups")
+    with scratch(docs.sparkSession) as keep:
+        groups = keep(copy_groups(texts), "groups")
     return all_docs.join(groups.hint("merge"), "text_sha256", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -192,7 +193,9 @@ def drop_exact_copies(docs: DataFrame, one_each: bool = False) -> DataFrame:
     """
     rows = at_home(docs.select(F.struct(*columns_of(docs)).alias("doc")))
     texts = rows.select("home", "place", F.col("doc.doc_id").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text"))
-    groups = materialize(copy_groups(texts), "groups")
     other = F.col("place") != F.col("keep_place") if one_each else ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    lost = texts.select("place", "doc_id", F.sha2("text", 256).alias("text_sha256")).join(groups.hint("merge"), "text_sha256").where(other)
+    with scratch(docs.sparkSession) as keep:
+        groups = materialize(copy_groups(texts), "groups")
+        lost = texts.select("place", "doc_id", F.sha2("text", 256).alias("text_sha256")).join(groups.hint("merge"), "text_sha256").where(other)
+        lost = keep(lost.select("place"), "lost")
     return join_marked(rows, lost, "left_anti").select("doc.*")

@@ -14,7 +14,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import columns_of, materialize, text_of
+from brightwell.llm.common import columns_of, materialize, scratch, text_of
 from brightwell.llm.exact_dedup import PLACE_BITS, at_home
 
 
@@ -206,8 +206,9 @@ def _with_spans(rows: DataFrame, rules: list[Rule], text: Column) -> DataFrame:
     indexed = {kind: query for kind, query in queries.items() if query != ANYTHING}
     if indexed:
         rows = at_home(rows)
-        found = materialize(candidates(rows.select(F.col("place").alias("key"), text.alias("text")), indexed), "candidates")
-        marks = materialize(_bits_at_home(found, sorted(indexed)), "bitmaps")
+        with scratch(rows.sparkSession) as keep:
+            found = materialize(candidates(rows.select(F.col("place").alias("key"), text.alias("text")), indexed), "candidates")
+            marks = keep(_bits_at_home(found, sorted(indexed)), "bitmaps")
         rows = rows.join(marks.hint("shuffle_hash"), rows["home"] == marks["to_home"], "left")
     at, found, rows = F.col("place").bitwiseAND((1 << PLACE_BITS) - 1), [], rows.withColumn("text", text)
     for number, rule in enumerate(rules):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import columns_of, connected_components, materialize, slices, text_of, word_parts
+from brightwell.llm.common import columns_of, connected_components, materialize, scratch, slices, text_of, word_parts
 from brightwell.llm.exact_dedup import at_home, join_marked
 from brightwell.llm.minhash_bands import bands, digest_key, grams, lost_texts
 
@@ -80,14 +80,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in a partial aggregate, so a large group of copies is one node.
     """
     prints = materialize(text_of(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(prints.select("fp").distinct()))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(placed, "placed")
-    # both sides are read from tables, so that a component of very many fingerprints is a key that AQE can split
-    least = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    classes = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    classes = materialize(classes, "classes")  # read from a table, so that a fingerprint of very many documents is a key that AQE can split
+    with scratch(docs.sparkSession) as keep:
+        nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        roots = connected_components(links(prints.select("fp").distinct()))
+        placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        placed = materialize(placed, "placed")
+        # both sides are read from tables, so that a component of very many fingerprints is a key that AQE can split
+        least = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+        classes = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
+        classes = keep(classes, "classes")  # read from a table, so that a fingerprint of very many documents is a key that AQE can split
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -132,22 +133,24 @@ def drop_near_copies(docs: DataFrame, one_each: bool = False) -> DataFrame:
     rows = at_home(docs.select(F.struct(*columns_of(docs)).alias("doc")))
     texts = rows.select("home", "place", F.col("doc.doc_id").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text")).withColumn("key", digest_key(F.col("text")))
     text_of(docs, "doc_id", "text")  # bounds the session's batches by bytes
-    signed = materialize(texts.select("place", "doc_id", "key", "text").mapInArrow(_signed, "place long, doc_id long, key binary, fp long, n long, bands array<long>"), "signatures")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "place")).alias("first")
-    nodes = signed.groupBy("key").agg(first, F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("fp", "n", "bands")))
-    roots = connected_components(links(signed.select("fp").distinct()))
-    component = F.xxhash64(F.lit("component"), F.coalesce("root", "fp"))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("bands", F.concat("bands", F.array(component)))
-    nodes = materialize(nodes.select("key", F.col("first.doc_id").alias("least"), F.col("first.place").alias("place"), "copies", "n", "bands"), "nodes")
-
-    def grams_of(places: DataFrame) -> DataFrame:
-        found = join_marked(texts, places.withColumnRenamed("key", "place"), "left_semi")
-        return found.select(F.col("place").alias("key"), "text").mapInArrow(_grams, "key long, grams binary")
-
-    # among themselves, distinct texts are the places of their first rows
-    gone = lost_texts(nodes.select(F.col("place").alias("key"), "least", "n", "bands"), grams_of)
-    gone = materialize(gone.select(F.col("key").alias("stays"), F.lit(True).alias("gone")), "gone")
-    marked = nodes.select("key", "least", F.col("place").alias("stays"), "copies").join(gone, "stays", "left").where("gone or copies > 1")
-    other = F.col("place") != F.col("stays") if one_each else ~F.col("doc_id").eqNullSafe(F.col("least"))
-    lost = signed.select("place", "doc_id", "key").join(materialize(marked, "marked"), "key").where(F.col("gone").isNotNull() | other)
+    with scratch(docs.sparkSession) as keep:
+        signed = materialize(texts.select("place", "doc_id", "key", "text").mapInArrow(_signed, "place long, doc_id long, key binary, fp long, n long, bands array<long>"), "signatures")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "place")).alias("first")
+        nodes = signed.groupBy("key").agg(first, F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("fp", "n", "bands")))
+        roots = connected_components(links(signed.select("fp").distinct()))
+        component = F.xxhash64(F.lit("component"), F.coalesce("root", "fp"))
+        nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("bands", F.concat("bands", F.array(component)))
+        nodes = materialize(nodes.select("key", F.col("first.doc_id").alias("least"), F.col("first.place").alias("place"), "copies", "n", "bands"), "nodes")
+
+        def grams_of(places: DataFrame) -> DataFrame:
+            found = join_marked(texts, places.withColumnRenamed("key", "place"), "left_semi")
+            return found.select(F.col("place").alias("key"), "text").mapInArrow(_grams, "key long, grams binary")
+
+        # among themselves, distinct texts are the places of their first rows
+        gone = lost_texts(nodes.select(F.col("place").alias("key"), "least", "n", "bands"), grams_of)
+        gone = materialize(gone.select(F.col("key").alias("stays"), F.lit(True).alias("gone")), "gone")
+        marked = nodes.select("key", "least", F.col("place").alias("stays"), "copies").join(gone, "stays", "left").where("gone or copies > 1")
+        other = F.col("place") != F.col("stays") if one_each else ~F.col("doc_id").eqNullSafe(F.col("least"))
+        lost = signed.select("place", "doc_id", "key").join(materialize(marked, "marked"), "key").where(F.col("gone").isNotNull() | other)
+        lost = keep(lost.select("place"), "lost")
     return join_marked(rows, lost, "left_anti").select("doc.*")

@@ -242,3 +242,31 @@ def test_secrets_shuffle_no_text_and_run_no_python(spark, monkeypatch):
             if "Exchange hashpartitioning" in line:
                 below = lines[i + 1]
                 assert "text" not in below.replace("contains(", "") or "HashAggregate" in below or "Aggregate" in below, plan
+
+
+def test_the_quality_stage_keeps_what_the_scores_say(spark):
+    from brightwell.llm.queries import op1_quality
+    from brightwell.sources import read_table
+
+    docs = read_table(spark, SMALL, "documents")
+    scores = {r["doc_id"]: r["predicted"] for r in op1_quality(spark, SMALL).collect()}
+    kept = corpus_pipeline.keep_quality(spark, docs, SMALL).select("doc_id", "text").collect()
+    assert by_key(kept) == by_key([(i, t) for i, t in documents(SMALL) if scores[i] == 1])
+
+
+def test_the_packing_stage_packs_each_document_once(spark):
+    from brightwell.sources import read_table
+    from tests.llm.test_round3 import padding
+
+    docs = read_table(spark, SMALL, "documents")
+    found = corpus_pipeline.pack(spark, docs, SMALL).collect()
+    held = Counter()
+    for r in found:
+        held[r["doc_id"]] += r["length"]
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert held == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in documents(SMALL)}
+    assert padding(found, 1024) >= 0
