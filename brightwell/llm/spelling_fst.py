@@ -314,6 +314,8 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     after that are words: four rows each, and more only of partitions beyond most_words; a partition
     reports each word's count and best, not its pairs.
     """
+    if times <= 1:
+        raise ValueError("times must be above 1: else forms could go round in circles")
     words = materialize(count_words(docs, id_col, text_col, least_length, least_count, spared), "words")
     near = _composed(words, False, least_length, most_words)
     best = F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("word"))).alias("best")

@@ -172,9 +172,11 @@ def test_acceptor_is_minimal():
 
 
 def test_variants_of_awkward_rows_and_none(spark):
-    rows = [(1, "w" * 3000 + "À"), (2, "w" * 3000 + "À"), (3, "w" * 3001), (4, None), (5, ""), (6, "w" * 3001)]
-    found = spelling_fst.group_variants(frame(spark, rows), least_count=1, times=1)
-    assert by_key(found.select(COLUMNS).collect()) == by_key(variants(rows, 6, 1, 1))
+    rows = [(1, "w" * 150 + "À"), (2, "w" * 150 + "À"), (3, "w" * 151), (4, None), (5, ""), (6, " ".join(["w" * 151] * 3))]
+    found = spelling_fst.group_variants(frame(spark, rows), least_count=1, times=2)
+    assert by_key(found.select(COLUMNS).collect()) == by_key(variants(rows, 6, 1, 2))
+    with pytest.raises(ValueError, match="circles"):
+        spelling_fst.group_variants(frame(spark, rows), times=1)
     assert spelling_fst.group_variants(frame(spark, rows).limit(0)).collect() == []
 
 
