@@ -2,8 +2,8 @@
 
 Radius-2 balls of SimHash (op3's contract) meet few pairs that are 0.8 alike, so buckets are the
 bands of MinHash signatures besides SimHash components (simhash_ball). Within a bucket, texts are
-compared with its hubs only, never all with all; what stays is compared once more, with other hubs.
-Pairs are of keys; a text is compared by the sorted hashes of its shingles.
+compared with its hubs first; the alike pairs among what stays are then found by their rarest
+shingles. Pairs are of keys; a text is compared by the sorted hashes of its shingles.
 """
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightwell.llm.common import materialize, word_parts
@@ -19,8 +19,10 @@ from brightwell.llm.common import materialize, word_parts
 WIDTH, SIMILAR = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8, 0.05 at 0.3.
 BANDS, ROWS = 20, 5
-#: The texts of a bucket that all its others are compared with at first, twice as many each time after that; and how often texts are compared.
-HUBS, COMPARISONS = 3, 2
+#: The texts of a bucket that all its others are compared with at first, twice as many each time after that; and how often, before the rest's pairs are looked for one by one.
+HUBS, COMPARISONS = 3, 1
+#: Less than any difference between sizes that tells; products of sizes are rounded by less.
+EPS = 1e-6
 #: Rounds in which the smallest id decides; chains that are longer are settled in an order of hashes.
 ROUNDS_BY_ID = 4
 
@@ -123,55 +125,123 @@ def settle(edges: DataFrame) -> DataFrame:
     return gone
 
 
-def _candidates(members: DataFrame, hubs: int, seed: int) -> DataFrame:
-    """(src, dst) of texts that share a bucket, one of them a hub there: the smallest (seed 0), or those of the least seeded hashes."""
+def _hubs(members: DataFrame, hubs: int, seed: int) -> DataFrame:
+    """(bucket, hub, hub_n) of buckets of two texts or more: the smallest text (seed 0), and those of the least seeded hashes."""
     by = [F.min(F.struct(F.xxhash64("text", F.lit(seed + i)).alias("hash"), "text", "n")) for i in range(hubs)]
     if not seed:
         by[0] = F.min(F.struct(F.lit(0).cast("long").alias("hash"), "text", "n"))
     found = members.groupBy("bucket").agg(F.count("*").alias("count"), *(f.alias(f"hub{i}") for i, f in enumerate(by))).where("count > 1")
     both = F.explode(F.array_distinct(F.array(*(F.struct(f"hub{i}.text", f"hub{i}.n") for i in range(hubs))))).alias("hub")
-    found = materialize(found.select("bucket", both).select("bucket", F.col("hub.text").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    near = F.least("n", "hub_n") >= F.lit(SIMILAR) * F.greatest("n", "hub_n") - F.lit(1e-6)  # else their sizes alone tell that they aren't alike
-    met = members.join(found, "bucket").where((F.col("hub") != F.col("text")) & near)
-    return met.select(F.least("hub", "text")["key"].alias("src"), F.greatest("hub", "text")["key"].alias("dst")).distinct()
+    return found.select("bucket", both).select("bucket", F.col("hub.text").alias("hub"), F.col("hub.n").alias("hub_n"))
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y)["key"].alias("src"), F.greatest(x, y)["key"].alias("dst")]
+
+
+def _with_hubs(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(src, dst) of texts that share a bucket, one of them a hub there."""
+    near = F.least("n", "hub_n") >= F.lit(SIMILAR) * F.greatest("n", "hub_n") - F.lit(EPS)  # else their sizes alone tell that they aren't alike
+    met = members.join(hubs, "bucket").where((F.col("hub") != F.col("text")) & near)
+    return met.select(*_pair("hub", "text")).distinct()
+
+
+def _exploded(batches):
+    """(key, gram) of (key, grams)."""
+    for b in batches:
+        counts = pa.compute.binary_length(b.column("grams")).to_numpy() // 8
+        grams_ = np.frombuffer(b"".join(b.column("grams").to_pylist()), "<i8")
+        at = np.repeat(np.arange(b.num_rows), counts)
+        for lo in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at[lo : lo + (1 << 16)])), pa.array(grams_[lo : lo + (1 << 16)])], ["key", "gram"])
+
+
+def _by_prefix(texts: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(src, dst): all pairs of texts (key, text, n) that are alike are among them; hashed has their grams.
+
+    Prefix and position filters of PPJoin (Xiao et al. 2008): with the grams of every text ordered by
+    how many of these texts hold them, two texts are alike only if the first eighth or so of the
+    smaller one and the first fifth of the other share a gram, early enough in both for what follows
+    to suffice. Grams of one text only come first and meet nothing, so texts that share a passage
+    but differ in more than that eighth make no pairs, however many they are.
+    """
+    kind = texts.schema["key"].dataType.simpleString()
+    tokens = hashed.select("key", "grams").mapInArrow(_exploded, f"key {kind}, gram long")
+    common = materialize(tokens.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1"), "common")
+    ranked = materialize(tokens.join(common, "gram"), "tokens").join(texts, "key")
+    by = Window.partitionBy("key")
+    place = F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("held", "gram"))
+    ranked = ranked.select("text", "n", "gram", place.alias("place")).where(F.col("place") <= F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n") - F.lit(EPS)) + 1)
+    ranked = materialize(ranked, "prefixes")
+    first = F.col("n") - F.ceil(F.lit(2 * SIMILAR / (1 + SIMILAR)) * F.col("n") - F.lit(EPS)) + 1
+    less = ranked.where(F.col("place") <= first).select("gram", *(F.col(c).alias(f"less_{c}") for c in ("text", "n", "place")))
+    ordered = F.struct("less_n", "less_text") < F.struct("n", "text")
+    near = F.col("less_n") >= F.lit(SIMILAR) * F.col("n") - F.lit(EPS)
+    most = F.least(F.col("n") - F.col("place"), F.col("less_n") - F.col("less_place")) + 1
+    enough = most >= F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("n") + F.col("less_n")) - F.lit(EPS)
+    return ranked.join(less, "gram").where(ordered & near & enough).select(*_pair("less_text", "text")).distinct()
 
 
 def lost_texts(nodes: DataFrame, grams_of: Callable[[DataFrame], DataFrame], comparisons: int = COMPARISONS) -> DataFrame:
     """(key) of the distinct texts that go: nodes are (key, least, n, bands), grams_of gives (key, grams) of a table of keys.
 
-    Buckets of one text only, which are most, fall away first, so little more than their counts is shuffled.
-    The texts of each bucket are compared with its hubs: at first HUBS, the smallest one and those of
-    the least seeded hashes. So pairs are in proportion to the texts, however large a group is. What
-    then stays is compared with twice as many other hubs of what is left of its buckets, and so on, until
-    these find no alike pair or it was compared so often; each comparison's work is in proportion to
-    the texts. Of all pairs that are alike, settle() chooses what goes.
+    Every alike pair that shares a bucket is found or has a text that goes for another one: of two
+    such texts one goes at least, and what goes has an alike text that stays (settle).
+
+    Buckets of one text only, which are most, fall away first. The texts of each bucket are compared
+    with its hubs: HUBS at first, the smallest one and those of the least seeded hashes, then twice as
+    many others of what is left, so often as `comparisons` says. So pairs are in proportion to the
+    texts, however large a group of copies is. Of what is left, the buckets that have two texts or more
+    besides their first hubs hold the rest of the pairs; _by_prefix gives all of these that can be
+    alike. It is done again for buckets with texts that a later choice let stay, until there is
+    nothing new.
     """
     order = F.struct(F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"), "key")
-    shared = nodes.select(F.explode("bands").alias("bucket")).groupBy("bucket").count().where("count > 1").select("bucket")
-    members = nodes.select(order.alias("text"), "n", F.explode("bands").alias("bucket")).join(materialize(shared, "shared"), "bucket", "left_semi")
-    members, hubs, seed = materialize(members, "members"), HUBS, 0
-    gone, alike, known = nodes.where("false").select("key"), [], []
-    for _ in range(comparisons):
-        left = members.join(gone, F.col("text.key") == gone["key"], "left_anti")
-        pairs = _candidates(left, hubs, seed)
-        for before in known:
-            pairs = pairs.join(before, ["src", "dst"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        wanted = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct(), "wanted")
-        if wanted.isEmpty():
-            return gone
-        hashed = materialize(grams_of(wanted), "grams")
+    shared = nodes.select("key", F.explode(F.array_distinct("bands")).alias("bucket")).withColumn("count", F.count("*").over(Window.partitionBy("bucket"))).where("count > 1")
+    members = materialize(shared.select("key", "bucket"), "shared").join(nodes.select("key", order.alias("text"), "n"), "key")
+    members, kind = materialize(members.select("text", "n", "bucket"), "members"), nodes.schema["key"].dataType.simpleString()
+    gone, edges, known = nodes.where("false").select("key"), None, None
+
+    def left() -> DataFrame:
+        return members.join(gone, F.col("text.key") == gone["key"], "left_anti")
+
+    def compared(pairs: DataFrame, hashed: DataFrame | None = None) -> bool:
+        """Compares the pairs that weren't yet; whether some are alike, by which gone was chosen again."""
+        nonlocal gone, edges, known
+        pairs = materialize(pairs if known is None else pairs.join(known, ["src", "dst"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return False
+        if hashed is None:
+            wanted = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
+            hashed = materialize(grams_of(materialize(wanted, "wanted")), "grams")
         one = pairs.join(hashed.select(F.col("key").alias("src"), F.col("grams").alias("one")), "src")
         two = one.join(hashed.select(F.col("key").alias("dst"), F.col("grams").alias("other")), "dst").select("src", "dst", "one", "other")
-        kind = pairs.schema["src"].dataType.simpleString()
         found = materialize(two.mapInArrow(_alike, f"src {kind}, dst {kind}"), "alike")
+        known = pairs if known is None else known.unionByName(pairs)
         if found.isEmpty():
-            return gone
-        alike.append(found)
-        known.append(pairs)
-        edges = alike[0]
-        for more in alike[1:]:
-            edges = edges.unionByName(more)
+            return False
+        edges = found if edges is None else edges.unionByName(found)
         gone = materialize(settle(edges), "gone")
+        return True
+
+    hubs, seed, first = HUBS, 0, None
+    for _ in range(comparisons):
+        found = materialize(_hubs(left(), hubs, seed), "hubs")
+        first = found.select("bucket", F.col("hub").alias("text")) if first is None else first
+        if not compared(_with_hubs(left(), found)):
+            break
         hubs, seed = 2 * hubs, seed + hubs
-    return gone
+    rest = members if first is None else members.join(first, ["bucket", "text"], "left_anti")  # the first hubs met all texts
+    rest, before = materialize(rest, "besides"), None
+    while True:
+        now = materialize(rest.join(gone, F.col("text.key") == gone["key"], "left_anti"), "left")
+        open_ = now.groupBy("bucket").count().where("count > 1").select("bucket")
+        if before is not None:  # pairs of texts that stayed then are known, so a new one has a text that did not
+            open_ = open_.join(now.join(before, ["bucket", "text"], "left_anti"), "bucket", "left_semi")
+        texts = materialize(now.join(open_, "bucket", "left_semi").select("text.key", "text", "n").distinct(), "open")
+        if texts.isEmpty():
+            return gone
+        hashed = materialize(grams_of(texts.select("key")), "grams")
+        if not compared(_by_prefix(texts, hashed), hashed):
+            return gone
+        before = now
