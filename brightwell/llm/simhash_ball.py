@@ -7,6 +7,7 @@ linked. A variant has at most 65 such neighbours, so no bucket grows with the da
 from __future__ import annotations
 
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,14 @@ def links(nodes: DataFrame) -> DataFrame:
 
     The members of a variant's bucket are all within the radius of each other, so each is linked
     to the one before it; the same pair from several variants is kept once and verified.
+
+    Two bits spoil two of a fingerprint's four quarters at most, so fingerprints that share no two
+    quarters with another one have no link, and only the others' variants are made.
     """
+    quarter = [F.shiftright("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
+    halves = F.array(*(quarter[i] + F.shiftleft(quarter[j], 16) + F.lit(n << 32) for n, (i, j) in enumerate(combinations(range(4), 2))))
+    shared = nodes.select("fp", F.explode(halves).alias("half")).withColumn("count", F.count("*").over(Window.partitionBy("half")))
+    nodes = materialize(shared.where("count > 1").select("fp").distinct(), "close")
     masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
     variants = nodes.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = variants.withColumn("other", F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))).where("other is not null")

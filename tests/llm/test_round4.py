@@ -1,7 +1,7 @@
-"""Pairs that no hub meets."""
+"""Pairs that no hub meets, and fingerprints that share quarters."""
 import numpy as np
 
-from brightwell.llm import common, minhash_bands
+from brightwell.llm import common, minhash_bands, simhash_ball
 from tests.llm.cases import word_jaccard
 
 
@@ -44,3 +44,18 @@ def test_unlike_texts_of_a_passage_make_no_pairs(spark):
     nodes, grams_of = hashed(spark, texts)
     given = nodes.selectExpr("key", "struct(least, key) text", "n")
     assert minhash_bands._by_prefix(given, grams_of(given.select("key"))).count() == 0
+
+
+def test_links_of_close_fingerprints_only(spark, monkeypatch):
+    """Variants are made of fingerprints that share two quarters with others; all pairs within the radius stay connected."""
+    rng = np.random.default_rng(3)
+    prints = set(rng.integers(-(1 << 63), 1 << 63, 400, dtype=np.int64).tolist())
+    for p in list(prints)[:60]:
+        a, b = rng.choice(64, 2, replace=False)
+        prints.add(int(np.int64(p) ^ np.uint64((1 << int(a)) | (1 << int(b))).astype(np.int64)))
+    made, f = {}, simhash_ball.materialize
+    monkeypatch.setattr(simhash_ball, "materialize", lambda df, name: made.setdefault(name, f(df, name)))
+    found = {frozenset((r["src"], r["dst"])) for r in simhash_ball.links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()}
+    close = {frozenset((a, b)) for a in prints for b in prints if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
+    assert found == close and len(close) >= 60
+    assert made["close"].count() <= 2 * len(close)
