@@ -5,9 +5,10 @@ tile multiplies the codes of a group of queries with those of a group of candida
 and its error bound tell which pairs can still be among the k nearest. Only these are computed on
 the original vectors, in double precision, and the tiles' short lists are merged by heaps.
 
-Candidates are grouped by norm. Queries first meet the group of the largest norms; the k-th product
-found there tells how large a norm must be for a product to matter, and groups of smaller norms
-are never sent to those queries.
+Candidates are grouped by norm. Queries first meet the group of the largest norms, then, round by
+round, three times as many groups as they have met. The k-th product found so far goes with each
+query: it tells how large a norm must be for a product to matter, so that groups of smaller norms are
+never sent, and pairs that don't reach it aren't returned.
 """
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightwell.llm.common import materialize
+from brightwell.llm.common import arrow_schema, materialize, table_of
 
 BLOCK = "dim int, part long, n long, ids binary, codes binary, scale binary, lost binary, norm binary, vectors binary, top double"
 MERGE = 32
@@ -79,6 +80,8 @@ class _Side:
         self.codes = flat("codes", np.int8).reshape(len(self.ids), -1)
         self.scale, self.lost, self.norm = flat("scale", np.float64), flat("lost", np.float64), flat("norm", np.float64)
         self.vectors = flat("vectors", kind).reshape(len(self.ids), -1)
+        #: What a pair of each query has to reach: the k-th product found so far, and its vec_id.
+        self.floor = (flat("floor", np.float64), flat("floor_id", "<i8")) if "floor" in table.column_names else None
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,7 +94,7 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile(q: _Side, c: _Side, k: int, rows: int = 256, columns: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, exact products) of each query's k nearest of these candidates, each id once; and each query's k-th product.
+    """(query ids, candidate ids, exact products) of each query's k nearest of these candidates, each id once, without those behind the query's floor; and each query's k-th product.
 
     A tile is `rows` queries by `columns` candidates. What a query has found so far is carried on: its
     k-th best product bounds the pairs of later tiles. Bounds that aren't finite exclude nothing.
@@ -102,7 +105,7 @@ def tile(q: _Side, c: _Side, k: int, rows: int = 256, columns: int = 4096) -> tu
         own = slice(lo, min(lo + rows, len(q.ids)))
         codes, n = q.codes[own].astype(wide), own.stop - lo
         row, cid, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        kth = np.full(n, -np.inf)
+        kth = q.floor[0][own].copy() if q.floor else np.full(n, -np.inf)
         for at in range(0, len(c.ids), columns):
             side = slice(at, min(at + columns, len(c.ids)))
             with np.errstate(all="ignore"):
@@ -125,7 +128,11 @@ def tile(q: _Side, c: _Side, k: int, rows: int = 256, columns: int = 4096) -> tu
             row, cid, score = _best(row, cid, score, k)
             counts = np.bincount(row, minlength=n)
             full = np.flatnonzero(counts >= k)
-            kth[full] = np.fmax(score[(np.cumsum(counts) - 1)[full]], -np.inf)  # no number bounds nothing
+            kth[full] = np.fmax(kth[full], score[(np.cumsum(counts) - 1)[full]])  # no number bounds nothing
+        if q.floor:
+            least, least_id = (x[own][row] for x in q.floor)
+            ahead = (least == -np.inf) | (score > least) | ((score == least) & (cid < least_id))
+            row, cid, score = row[ahead], cid[ahead], score[ahead]
         out.append((q.ids[own][row], cid, score, kth))
     return tuple(map(np.concatenate, zip(*out)))
 
@@ -145,6 +152,7 @@ def _best(row: np.ndarray, cid: np.ndarray, score: np.ndarray, k: int) -> tuple[
 
 
 PAIRS = "bucket long, node long, query_id long, vec_id long, score double"
+FLOORS = "bucket long, dim int, part long, floor binary, floor_id binary, need double"
 #: Products and norms are off by less than so much of themselves.
 SLACK = 1e-9
 
@@ -154,25 +162,45 @@ def _pairs(bucket, node, qid, cid, score) -> pa.Table:
     return pa.table({"bucket": pa.array(np.full(n, bucket, np.int64)), "node": pa.array(np.full(n, node, np.int64)), "query_id": pa.array(np.asarray(qid, np.int64)), "vec_id": pa.array(np.asarray(cid, np.int64)), "score": pa.array(np.asarray(score, np.float64))})
 
 
-def least_norm(q: _Side, kth: np.ndarray) -> float:
+def least_norm(norm: np.ndarray, kth: np.ndarray) -> float:
     """The norm that a vector needs for a product with some of these queries to reach what is their k-th best so far; minus infinity if any will do."""
     with np.errstate(all="ignore"):
-        need = kth / (q.norm * (1 + SLACK))
+        need = kth / (norm * (1 + SLACK))
     return float(np.where((kth > 0) & np.isfinite(need), need, -np.inf).min())
 
 
-def _tile(k: int, kind: str, first: bool = False):
-    """Task side: a group of queries and one of candidates to PAIRS; the first ones with the norm that other candidates need to matter to these queries."""
+def _tile(k: int, kind: str):
+    """Task side: a group of queries and one of candidates to PAIRS."""
 
     def run(key: tuple, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        found, need, dim = _pairs(0, 0, [], [], []), -np.inf, 0
-        if queries.num_rows and candidates.num_rows:
-            q = _Side(queries, kind)
-            *pairs, kth = tile(q, _Side(candidates, kind), k)
-            found, need, dim = _pairs(key[0].as_py(), key[1].as_py(), *pairs), least_norm(q, kth), key[2].as_py()
-        if first:
-            found = found.append_column("dim", pa.array(np.full(found.num_rows, dim, np.int32))).append_column("need", pa.array(np.full(found.num_rows, need)))
-        return found
+        if not queries.num_rows or not candidates.num_rows:
+            return _pairs(0, 0, [], [], [])
+        return _pairs(key[0].as_py(), key[1].as_py(), *tile(_Side(queries, kind), _Side(candidates, kind), k)[:3])
+
+    return run
+
+
+def _floors(k: int):
+    """Task side: a bucket's blocks of queries and the best pairs so far to each block's floors (_Side) and least norm."""
+    schema = arrow_schema(FLOORS)
+
+    def run(key: tuple, blocks: pa.Table, best: pa.Table) -> pa.Table:
+        qid, cid, score = (best.column(c).to_numpy() for c in ("query_id", "vec_id", "score"))
+        order = np.lexsort((cid, -score, qid))
+        qid, cid, score = qid[order], cid[order], score[order]
+        known, start, count = np.unique(qid, return_index=True, return_counts=True)
+        at = start[count >= k] + k - 1
+        known, score, cid = known[count >= k], score[at], cid[at]
+        rows = []
+        for dim, part, ids, norm in zip(*(blocks.column(c).to_pylist() for c in ("dim", "part", "ids", "norm"))):
+            ids, floor = np.frombuffer(ids, "<i8"), np.full(len(ids) // 8, -np.inf)
+            floor_id = np.zeros(len(ids), np.int64)
+            if len(known):
+                to = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                own = (known[to] == ids) & ~np.isnan(score[to])  # no number bounds nothing
+                floor[own], floor_id[own] = score[to][own], cid[to][own]
+            rows.append((key[0].as_py(), dim, part, floor.tobytes(), floor_id.tobytes(), least_norm(np.frombuffer(norm), floor)))
+        return pa.Table.from_batches([table_of(rows, schema)])
 
     return run
 
@@ -225,8 +253,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     Candidates are dealt by norm, in groups of about `group_bytes` of vectors, whatever their length,
     and queries in groups of about `query_rows`. A task holds one group of each, carries each query's
     k best over its candidates and returns no more than these. All queries meet the group of the
-    largest norms, and another one only if its norms are large enough for what was found there; where
-    all norms are alike, every group meets every group. Short lists are merged in rounds of MERGE groups.
+    largest norms, and then in each round three times the groups met before, but only those whose norms
+    are large enough for what was found. A task returns only pairs that come before the k-th found in
+    earlier rounds: if products don't depend on the group, that is some 3 k pairs a query and round, so
+    pairs grow with the logarithm of the groups. Where all norms are alike, every group meets every
+    group. Short lists are merged in rounds of MERGE groups.
     """
     rows = usable(vectors, id_col, vector_col)
     spark = vectors.sparkSession
@@ -240,32 +271,41 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     groups_c = max(1, spread, -(-(bytes_c or 0) // group_bytes))
     squares = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     dealt = rows.withColumn("squares", squares).repartitionByRange(groups_c, F.desc("squares"), "vec_id").select("vec_id", "embedding")
-    candidates = materialize(dealt.mapInArrow(_blocks(kind, block_rows), BLOCK).withColumn("node", F.shiftright("part", 24)), "candidates")
+    candidates = materialize(dealt.mapInArrow(_blocks(kind, block_rows), BLOCK), "candidates")
+    # groups follow the bytes, also where Spark dealt more partitions than asked for
+    parts = (candidates.agg(F.max("part")).first()[0] or 0) // (1 << 24) + 1
+    candidates = candidates.withColumn("node", F.expr(f"(shiftright(part, 24) * {min(groups_c, parts)}) div {parts}"))
     queries = queries.withColumn("bucket", F.pmod(F.xxhash64("dim", "part"), F.lit(groups_q)))
 
     nodes = materialize(candidates.groupBy("node", "dim").agg(F.max("top").alias("top")), "nodes")
     lo, hi = nodes.agg(F.min("node"), F.max("node")).first()
     keys = ["bucket", "node", "dim"]
 
-    def meet(sent: DataFrame, first: bool) -> DataFrame:
+    def meet(asking: DataFrame, sent: DataFrame) -> DataFrame:
         """sent: (bucket, node, dim) of the groups that meet."""
-        left, right = queries.join(sent, ["bucket", "dim"]), candidates.join(sent, ["node", "dim"])
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile(k, kind, first), PAIRS + ", dim int, need double" * first)
+        left, right = asking.join(sent, ["bucket", "dim"]), candidates.join(sent, ["node", "dim"])
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile(k, kind), PAIRS)
 
     asked = materialize(queries.select("bucket", "dim").distinct(), "asked")
-    found = materialize(meet(asked.join(nodes.where(F.col("node") == (lo or 0)).select("node", "dim"), "dim"), True), "first")
-    needs = found.groupBy("bucket", "dim").agg(F.min("need").alias("need"))
-    needs = materialize(asked.join(needs, ["bucket", "dim"], "left").select("bucket", "dim", F.coalesce("need", F.lit(float("-inf"))).alias("need")), "needs")
-    others = nodes.where(F.col("node") > (lo or 0)).withColumnRenamed("dim", "of_dim")
-    sent = needs.join(others, (F.col("dim") == F.col("of_dim")) & (F.col("top") * (1 + SLACK) >= F.col("need"))).select(*keys)
-    found = found.select(*(c.split()[0] for c in PAIRS.split(", "))).unionByName(meet(materialize(sent, "sent"), False))
-    width = (hi or 0) + 1
+    needs, asking, best = asked.withColumn("need", F.lit(float("-inf"))), queries, None
+    at, number = lo or 0, 0
     while True:
-        above = found.withColumn("from", F.col("node")).withColumn("node", F.floor(F.col("node") / MERGE))
-        found = above.groupBy("bucket", "node").applyInArrow(_merge(k), PAIRS)
-        width = -(-width // MERGE)
-        if width == 1:
+        behind = min(4 * at - 3 * (lo or 0) - 1, hi or 0) if number else at  # the last group of this round
+        own = nodes.where(F.col("node").between(at, behind)).withColumnRenamed("dim", "of_dim")
+        sent = needs.join(own, (F.col("dim") == F.col("of_dim")) & (F.col("top") * (1 + SLACK) >= F.col("need"))).select(*keys)
+        found = materialize(meet(asking, materialize(sent, f"sent{number or ''}")), f"found{number}").withColumn("node", F.col("node") - at + 1)
+        found, width = found if best is None else found.unionByName(best), behind - at + 2
+        while width > 1:
+            above = found.withColumn("from", F.col("node")).withColumn("node", F.floor(F.col("node") / MERGE))
+            found, width = above.groupBy("bucket", "node").applyInArrow(_merge(k), PAIRS), -(-width // MERGE)
+        best, at = materialize(found, f"best{number}"), behind + 1
+        if at > (hi or 0):
             break
+        floors = queries.select("bucket", "dim", "part", "ids", "norm").groupBy("bucket").cogroup(best.groupBy("bucket"))
+        floors = materialize(floors.applyInArrow(_floors(k), FLOORS), f"floors{number}")
+        needs = floors.groupBy("bucket", "dim").agg(F.min("need").alias("need"))
+        asking, number = queries.join(floors.drop("need"), ["bucket", "dim", "part"]), number + 1
+    found = best
     # an id that several query rows share may have a list in several buckets
     found = found.groupBy("query_id", "vec_id").agg(F.coalesce(F.max(F.when(~F.isnan("score"), F.col("score"))), F.lit(float("nan"))).alias("score"))
     ranked = found.select("query_id", F.struct((-F.col("score")).alias("less"), "vec_id").alias("near")).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("near")), 1, k).alias("near"))

@@ -1,7 +1,8 @@
-"""Pairs that no hub meets, and fingerprints that share quarters."""
+"""Pairs that no hub meets, fingerprints that share quarters, and pairs carried over groups of candidates."""
 import numpy as np
+import pyarrow as pa
 
-from brightwell.llm import common, minhash_bands, simhash_ball
+from brightwell.llm import block_ann, common, minhash_bands, simhash_ball
 from tests.llm.cases import word_jaccard
 
 
@@ -59,3 +60,20 @@ def test_links_of_close_fingerprints_only(spark, monkeypatch):
     close = {frozenset((a, b)) for a in prints for b in prints if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
     assert found == close and len(close) >= 60
     assert made["close"].count() <= 2 * len(close)
+
+
+def test_pairs_grow_with_the_logarithm_of_the_groups(spark, monkeypatch):
+    """Norms are all alike and vectors repeat under many ids: groups that come later return only what gets ahead of what was found."""
+    rng = np.random.default_rng(11)
+    x = np.sign(rng.normal(size=(900, 16)))[rng.integers(900, size=16_000)].astype(np.float32)
+    made, f = {}, block_ann.materialize
+    monkeypatch.setattr(block_ann, "materialize", lambda df, name: made.setdefault(name, f(df, name)))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 16).cast(pa.list_(pa.float32()))}))
+    found = block_ann.nearest(df, k=10, every=200, query_rows=50, block_rows=100, group_bytes=16_000).collect()
+    groups, queries = made["nodes"].count(), np.arange(0, len(x), 200)
+    assert groups >= 50
+    assert sum(t.count() for name, t in made.items() if name.startswith("found")) < 0.2 * 10 * groups * len(queries)
+    score = x[queries].astype(np.float64) @ x.astype(np.float64).T
+    score[np.arange(len(queries)), queries] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, :10]
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in found} == {(int(q), n + 1): int(i) for q, row in zip(queries, best) for n, i in enumerate(row)}
