@@ -52,8 +52,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     """
     before, kept = len(_made), []
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        found = materialize(df, name)
+    def keep(df: DataFrame, name: str, write: Callable[[DataFrame, str], DataFrame] = materialize) -> DataFrame:
+        found = write(df, name)
         kept.append(_made[-1])
         return found
 

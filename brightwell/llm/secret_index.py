@@ -208,7 +208,7 @@ def _with_spans(rows: DataFrame, rules: list[Rule], text: Column) -> DataFrame:
         rows = at_home(rows)
         with scratch(rows.sparkSession) as keep:
             found = materialize(candidates(rows.select(F.col("place").alias("key"), text.alias("text")), indexed), "candidates")
-            marks = keep(_bits_at_home(found, sorted(indexed)), "bitmaps")
+            marks = keep(_bits_at_home(found, sorted(indexed)), "bitmaps", materialize)
         rows = rows.join(marks.hint("shuffle_hash"), rows["home"] == marks["to_home"], "left")
     at, found, rows = F.col("place").bitwiseAND((1 << PLACE_BITS) - 1), [], rows.withColumn("text", text)
     for number, rule in enumerate(rules):
