@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightwell.llm.common import materialize, word_parts
+from brightwell.llm.common import connected_components, materialize, word_parts
 
 WIDTH, SIMILAR = 5, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8, 0.05 at 0.3.
@@ -147,39 +147,73 @@ def _with_hubs(members: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def _exploded(batches):
-    """(key, gram) of (key, grams)."""
+    """(family, gram) of (family, grams)."""
     for b in batches:
         counts = pa.compute.binary_length(b.column("grams")).to_numpy() // 8
         grams_ = np.frombuffer(b"".join(b.column("grams").to_pylist()), "<i8")
         at = np.repeat(np.arange(b.num_rows), counts)
         for lo in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at[lo : lo + (1 << 16)])), pa.array(grams_[lo : lo + (1 << 16)])], ["key", "gram"])
+            yield pa.RecordBatch.from_arrays([b.column("family").take(pa.array(at[lo : lo + (1 << 16)])), pa.array(grams_[lo : lo + (1 << 16)])], ["family", "gram"])
 
 
-def _by_prefix(texts: DataFrame, hashed: DataFrame) -> DataFrame:
-    """(src, dst): all pairs of texts (key, text, n) that are alike are among them; hashed has their grams.
+def _apart(batches):
+    """(key, family, size, gram) of (key, family, grams, core): the grams of a text or its family's core that the other lacks, and null, which all hold; size counts them."""
+    for b in batches:
+        for i, (own, core) in enumerate(zip(b.column("grams"), b.column("core"))):
+            own = np.frombuffer(own.as_buffer(), "<i8")
+            found = np.setxor1d(own, core.values.to_numpy(), assume_unique=True) if core.is_valid else own
+            for lo in range(0, len(found) + 1, 1 << 16):
+                grams_ = pa.array(found[lo : lo + (1 << 16)])
+                if lo + (1 << 16) > len(found):
+                    grams_ = pa.concat_arrays([grams_, pa.nulls(1, pa.int64())])
+                same = pa.array(np.full(len(grams_), i))
+                size = pa.array(np.full(len(grams_), len(found) + 1))
+                yield pa.RecordBatch.from_arrays([b.column("key").take(same), b.column("family").take(same), size, grams_], ["key", "family", "size", "gram"])
+
 
-    Prefix and position filters of PPJoin (Xiao et al. 2008): with the grams of every text ordered by
-    how many of these texts hold them, two texts are alike only if the first eighth or so of the
-    smaller one and the first fifth of the other share a gram, early enough in both for what follows
-    to suffice. Grams of one text only come first and meet nothing, so texts that share a passage
-    but differ in more than that eighth make no pairs, however many they are.
+def _families(members: DataFrame) -> DataFrame:
+    """(key, family) of the texts of buckets that have two or more: those that share a bucket are of one family."""
+    least = members.groupBy("bucket").agg(F.min("text.key").alias("dst"), F.count("*").alias("count")).where("count > 1")
+    edges = members.join(materialize(least.select("bucket", "dst"), "firsts"), "bucket").select(F.col("text.key").alias("src"), "dst")
+    return materialize(connected_components(edges).select(F.col("node").alias("key"), F.col("root").alias("family")), "families")
+
+
+def _by_prefix(texts: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(src, dst): all pairs of texts (key, text, n and family; one family if it is missing) that are of one family and alike are among them; hashed has their grams.
+
+    Prefix and position filters as PPJoin's (Xiao et al. 2008), but on how texts differ from what their
+    family has in common. The core of a family is the grams that more than half of its texts hold (at
+    most twice a text's mean count of grams), and each text is taken as what it has beside the core and
+    what it lacks of it: two texts differ by as many grams as before, so nothing is lost, whatever the
+    core is. In the order of how many texts of the family hold them, what comes before the first one
+    that two texts share tells them apart: an eighth of a text's own count of grams at most in the
+    smaller one, a quarter in the other. All texts share a last one, for those that hold little else.
+
+    What one text only has meets nothing. Copies of one text with edits of their own meet where they
+    lack the same grams, which few of them do, and not in the grams that nearly all of them hold.
     """
-    kind = texts.schema["key"].dataType.simpleString()
-    tokens = hashed.select("key", "grams").mapInArrow(_exploded, f"key {kind}, gram long")
-    common = materialize(tokens.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1"), "common")
-    ranked = materialize(tokens.join(common, "gram"), "tokens").join(texts, "key")
+    if "family" not in texts.columns:
+        texts = texts.withColumn("family", F.lit(0))
+    key, family = (f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("key", "family"))
+    hashed = hashed.select("key", "grams").join(texts.select("key", "family"), "key")
+    held = hashed.select("family", "grams").mapInArrow(_exploded, f"{family}, gram long").groupBy("family", "gram").agg(F.count("*").alias("held")).where("held > 1")
+    held = held.join(texts.groupBy("family").agg(F.count("*").alias("texts")), "family")
+    core = 2 * F.col("held") > F.col("texts")
+    common = materialize(held.select("family", "gram", core.alias("core"), F.when(core, F.col("texts") - F.col("held")).otherwise(F.col("held")).alias("held")), "common")
+    cores = materialize(common.where("core").groupBy("family").agg(F.collect_list("gram").alias("core")), "cores")
+    apart = hashed.join(cores, "family", "left").select("key", "family", "grams", "core").mapInArrow(_apart, f"{key}, {family}, size long, gram long")
+    ranked = materialize(apart, "tokens").join(common.select("family", "gram", "held"), ["family", "gram"], "left").where("held > 1 or gram is null")
     by = Window.partitionBy("key")
-    place = F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("held", "gram"))
-    ranked = ranked.select("text", "n", "gram", place.alias("place")).where(F.col("place") <= F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n") - F.lit(EPS)) + 1)
-    ranked = materialize(ranked, "prefixes")
-    first = F.col("n") - F.ceil(F.lit(2 * SIMILAR / (1 + SIMILAR)) * F.col("n") - F.lit(EPS)) + 1
-    less = ranked.where(F.col("place") <= first).select("gram", *(F.col(c).alias(f"less_{c}") for c in ("text", "n", "place")))
-    ordered = F.struct("less_n", "less_text") < F.struct("n", "text")
-    near = F.col("less_n") >= F.lit(SIMILAR) * F.col("n") - F.lit(EPS)
-    most = F.least(F.col("n") - F.col("place"), F.col("less_n") - F.col("less_place")) + 1
-    enough = most >= F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("n") + F.col("less_n")) - F.lit(EPS)
-    return ranked.join(less, "gram").where(ordered & near & enough).select(*_pair("less_text", "text")).distinct()
+    place = F.col("size") - F.count("*").over(by) + F.row_number().over(by.orderBy(F.col("gram").isNull(), "held", "gram"))
+    ranked = ranked.join(texts.select("key", "text", "n"), "key").select("family", "text", "n", "size", F.coalesce("gram", F.lit(0)).alias("gram"), place.alias("place"))
+    ranked = materialize(ranked.where(F.col("place") <= F.floor(F.lit((1 - SIMILAR) / SIMILAR) * F.col("n") + F.lit(EPS)) + 1), "prefixes")
+    first = F.floor(F.lit((1 - SIMILAR) / SIMILAR / 2) * F.col("n") + F.lit(EPS)) + 1
+    less = ranked.where(F.col("place") <= first).select("family", "gram", *(F.col(c).alias(f"less_{c}") for c in ("text", "n", "size", "place")))
+    ordered = F.struct("less_size", "less_text") < F.struct("size", "text")
+    near = F.least("n", "less_n") >= F.lit(SIMILAR) * F.greatest("n", "less_n") - F.lit(EPS)
+    most = F.least(F.col("size") - F.col("place"), F.col("less_size") - F.col("less_place")) + 1
+    enough = F.col("size") + F.col("less_size") - 2 * most <= F.lit((1 - SIMILAR) / (1 + SIMILAR)) * (F.col("n") + F.col("less_n")) + F.lit(EPS)
+    return ranked.join(less, ["family", "gram"]).where(ordered & near & enough).select(*_pair("less_text", "text")).distinct()
 
 
 def lost_texts(nodes: DataFrame, grams_of: Callable[[DataFrame], DataFrame], comparisons: int = COMPARISONS) -> DataFrame:
@@ -193,7 +227,7 @@ def lost_texts(nodes: DataFrame, grams_of: Callable[[DataFrame], DataFrame], com
     many others of what is left, so often as `comparisons` says. So pairs are in proportion to the
     texts, however large a group of copies is. Of what is left, the buckets that have two texts or more
     besides their first hubs hold the rest of the pairs; _by_prefix gives all of these that can be
-    alike. It is done again for buckets with texts that a later choice let stay, until there is
+    alike, in families of texts that buckets connect. It is done again for buckets with texts that a later choice let stay, until there is
     nothing new.
     """
     order = F.struct(F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"), "key")
@@ -232,7 +266,7 @@ def lost_texts(nodes: DataFrame, grams_of: Callable[[DataFrame], DataFrame], com
             break
         hubs, seed = 2 * hubs, seed + hubs
     rest = members if first is None else members.join(first, ["bucket", "text"], "left_anti")  # the first hubs met all texts
-    rest, before = materialize(rest, "besides"), None
+    rest, before, families = materialize(rest, "besides"), None, None
     while True:
         now = materialize(rest.join(gone, F.col("text.key") == gone["key"], "left_anti"), "left")
         open_ = now.groupBy("bucket").count().where("count > 1").select("bucket")
@@ -241,7 +275,8 @@ def lost_texts(nodes: DataFrame, grams_of: Callable[[DataFrame], DataFrame], com
         texts = materialize(now.join(open_, "bucket", "left_semi").select("text.key", "text", "n").distinct(), "open")
         if texts.isEmpty():
             return gone
+        families = _families(rest) if families is None else families
         hashed = materialize(grams_of(texts.select("key")), "grams")
-        if not compared(_by_prefix(texts, hashed), hashed):
+        if not compared(_by_prefix(texts.join(families, "key"), hashed), hashed):
             return gone
         before = now
